@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import bpe, lines, mixing
+from tessella.llm import bpe, lines, mixing, setsketch
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,13 +26,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_dropped")
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_bpe": op2_bpe, "op6_mixing": op6_mixing, "op10_lines": op10_lines}
+    return {"op2_bpe": op2_bpe, "op6_mixing": op6_mixing, "op9_setsketch": op9_setsketch, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.sql(), "op10_lines": lines.sql()}
+    return {"op6_mixing": mixing.sql(), "op9_setsketch": setsketch.sql(), "op10_lines": lines.sql()}
