@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe, lines, mixing, setsketch
+from tessella.llm import bpe, lines, mixing, setsketch, topk
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
@@ -34,9 +39,13 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_dropped")
 
 
+_QUERIES = (op2_bpe, op5_topk, op6_mixing, op9_setsketch, op10_lines)
+_SQL = {"op5_topk": topk.sql, "op6_mixing": mixing.sql, "op9_setsketch": setsketch.sql, "op10_lines": lines.sql}
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_bpe": op2_bpe, "op6_mixing": op6_mixing, "op9_setsketch": op9_setsketch, "op10_lines": op10_lines}
+    return {query.__name__: query for query in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.sql(), "op9_setsketch": setsketch.sql(), "op10_lines": lines.sql()}
+    return {name: sql() for name, sql in _SQL.items()}
