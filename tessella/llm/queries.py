@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, lines, mixing, setsketch, topk
+from tessella.llm import bpe, forest, lines, mixing, setsketch, topk
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_dropped")
 
 
-_QUERIES = (op2_bpe, op5_topk, op6_mixing, op9_setsketch, op10_lines)
+_QUERIES = (op2_bpe, op5_topk, op6_mixing, op7_forest, op9_setsketch, op10_lines)
 _SQL = {"op5_topk": topk.sql, "op6_mixing": mixing.sql, "op9_setsketch": setsketch.sql, "op10_lines": lines.sql}
 
 
