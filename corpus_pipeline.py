@@ -3,18 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import bpe
+from tessella.llm import bpe, lines, mixing, quality, setsketch
 from tessella.llm.common import table, written
 from tessella.llm.queries import tokenizer_file
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, whole, that the quality classifier doesn't reject."""
+    return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def unboiled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their sources' boilerplate lines; n_chars follows the text."""
+    out = lines.drop_boilerplate(docs.select(*COLUMNS))
+    chars = F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).select(*COLUMNS)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return setsketch.keep_one(docs.select(*COLUMNS))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them, in training order."""
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
+
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document that the earlier stages leave."""
     return bpe.digests(docs, tokenizer_file("word_bpe_49k.json"))
 
 
-STAGES = [("bpe", tokens)]
+STAGES = [("quality", good), ("lines", unboiled), ("near-dedup", distinct), ("mixing", mixed), ("bpe", tokens)]
 
 #: SQL has neither the classifier, the sketches nor the tokenizer; tests hold each stage against brute force.
 ORACLE_SQL = None

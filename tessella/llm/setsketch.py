@@ -375,8 +375,8 @@ def _state(e: DataFrame) -> tuple:
     return tuple(row)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+def _resolved(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, c1, c2, component_id, first) of every row; first: it is of its component's first class."""
     sketched = written(sketches(docs), "sketches")
     classes = classes_of(sketched)
     stars = written(likely_pairs(star_pairs(classes), classes), "pairs")
@@ -387,12 +387,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
     named = classes.select("node", "c1", "c2", "first_id").join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = named.join(first, "comp").select("c1", "c2", "component_id")
+    first = named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "c1", "c2")).alias("w"))
+    own = (F.col("c1") == F.col("w.c1")) & (F.col("c2") == F.col("w.c2"))
+    named = named.join(first, "comp").select("c1", "c2", F.col("w.first_id").alias("component_id"), own.alias("first"))
     plain = sketched.select("doc_id", "n_shingles", "c1", "c2")
-    full = plain.where("n_shingles > 0").join(named, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id")
-    empty = plain.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    full = plain.where("n_shingles > 0").join(named, ["c1", "c2"])
+    empty = plain.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "first": F.lit(True)})
+    return full.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text)."""
+    return _resolved(docs).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, whole, without near duplicates: of each component one row with the smallest doc_id.
+
+    Rows with an empty set are linked with nothing and stay.  Where a doc_id
+    has several rows, those rows are told by their sets.
+    """
+    found = written(_resolved(docs), "resolved")
+    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = written(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__stays")).where("__stays").drop("__stays"), "ids")
+    out = docs.join(ids.where("__n = 1 and __id is not null"), F.col("doc_id") == F.col("__id"), "left_semi")
+    several = ids.where("__n > 1 or __id is null").select("__id")
+    if several.isEmpty():
+        return out
+    rows = docs.join(several, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(at).to_pylist())
+            keys = [class_key(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=[*batch.schema.names, "__size", "__c1", "__c2"])
+
+    keyed = rows.mapInArrow(run, rows.schema.add("__size", "long").add("__c1", "long").add("__c2", "long"))
+    own = ["__size", "__c1", "__c2"]
+    best = found.where(stays & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("__id"), F.col("c1").alias("__w1"), F.col("c2").alias("__w2")).distinct()
+    full = keyed.where("__size > 0").join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__c1") == F.col("__w1")) & (F.col("__c2") == F.col("__w2")), "left_semi")
+    full = full.dropDuplicates(["doc_id", "__c1", "__c2"]).drop(*own)
+    return out.unionByName(full).unionByName(keyed.where("__size = 0").drop(*own))
 
 
 def sql() -> str:
