@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, forest, lines, mixing, quality, setsketch, topk
+from tessella.llm import bpe, forest, lines, mixing, quality, setsketch, tokenfile, topk
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op3_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_dropped")
 
 
-_QUERIES = (op2_bpe, op4_quality, op5_topk, op6_mixing, op7_forest, op9_setsketch, op10_lines)
+_QUERIES = (op2_bpe, op3_tokenfile, op4_quality, op5_topk, op6_mixing, op7_forest, op9_setsketch, op10_lines)
 _SQL = {"op5_topk": topk.sql, "op6_mixing": mixing.sql, "op9_setsketch": setsketch.sql, "op10_lines": lines.sql}
 
 
