@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, forest, lines, mixing, quality, setsketch, tokenfile, topk
+from tessella.llm import bpe, chat, forest, lines, mixing, quality, setsketch, tokenfile, topk
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -51,8 +55,8 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_dropped")
 
 
-_QUERIES = (op2_bpe, op3_tokenfile, op4_quality, op5_topk, op6_mixing, op7_forest, op9_setsketch, op10_lines)
-_SQL = {"op5_topk": topk.sql, "op6_mixing": mixing.sql, "op9_setsketch": setsketch.sql, "op10_lines": lines.sql}
+_QUERIES = (op1_chat, op2_bpe, op3_tokenfile, op4_quality, op5_topk, op6_mixing, op7_forest, op9_setsketch, op10_lines)
+_SQL = {"op1_chat": chat.sql, "op5_topk": topk.sql, "op6_mixing": mixing.sql, "op9_setsketch": setsketch.sql, "op10_lines": lines.sql}
 
 
 def queries() -> dict[str, Query]:
