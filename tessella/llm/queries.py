@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, chat, forest, lines, mixing, quality, setsketch, tokenfile, topk
+from tessella.llm import bpe, chat, forest, lines, mixing, quality, setsketch, tokenfile, topk, warc
 from tessella.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,10 @@ def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,8 +59,8 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "lines_dropped")
 
 
-_QUERIES = (op1_chat, op2_bpe, op3_tokenfile, op4_quality, op5_topk, op6_mixing, op7_forest, op9_setsketch, op10_lines)
-_SQL = {"op1_chat": chat.sql, "op5_topk": topk.sql, "op6_mixing": mixing.sql, "op9_setsketch": setsketch.sql, "op10_lines": lines.sql}
+_QUERIES = (op1_chat, op2_bpe, op3_tokenfile, op4_quality, op5_topk, op6_mixing, op7_forest, op8_warc, op9_setsketch, op10_lines)
+_SQL = {"op1_chat": chat.sql, "op5_topk": topk.sql, "op6_mixing": mixing.sql, "op8_warc": warc.sql, "op9_setsketch": setsketch.sql, "op10_lines": lines.sql}
 
 
 def queries() -> dict[str, Query]:
