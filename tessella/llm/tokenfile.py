@@ -54,6 +54,8 @@ _MAGIC = b"TOKIDS01"
 _HEADER = len(_MAGIC) + 4 + 32
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u8"), ("n_tokens", "<u8")])
 _LAST = 2**63 - 1
+#: How byte-level vocabularies write a blank.
+BLANK = "\u0120"
 
 
 # -- encoding ------------------------------------------------------------------------------
@@ -71,6 +73,9 @@ class Encoder:
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.width = 2 if self.lib.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self._blank = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.lib.get_vocab(with_added_tokens=False).items():
+            self._blank[i] = token[0] == BLANK
         self._reset()
 
     def _reset(self) -> None:
@@ -79,18 +84,32 @@ class Encoder:
         self._joins = np.zeros(1 << 12, bool)  # chunks that must not be parted from what follows
 
     def _learn(self) -> None:
+        """Ids of the new chunks.
+
+        The library gets many of them as one text, " a b c": a chunk has no
+        blank inside, so its first id, and no other, is a token that begins
+        with a blank.
+        """
         new, self._known.new = self._known.new, []
-        found = [e.ids for e in self.lib.encode_batch([" " + c for c in new], add_special_tokens=False)]
-        at, counts = len(self._known) - len(new), np.cumsum([len(x) for x in found])
+        joins = np.array([not c or c[-1].isspace() or c[0].isspace() or " " in c for c in new], bool)
+        alone = [c for c, odd in zip(new, joins.tolist()) if not odd]
+        texts = [" " + " ".join(alone[k : k + 5000]) for k in range(0, len(alone), 5000)]
+        ids = np.concatenate([np.empty(0, np.int32), *self._whole(texts)])
+        first = np.flatnonzero(self._blank[ids])
+        if len(first) != len(alone):
+            raise ValueError("the tokenizer doesn't divide text at blanks")
+        counts = np.zeros(len(new), np.int64)
+        counts[~joins] = np.diff(np.append(first, len(ids)))
+        at = len(self._known) - len(new)
         used = int(self._ends[at])
         if len(self._known) + 1 > len(self._ends):
             self._ends = np.concatenate((self._ends, np.zeros(len(self._known), np.int64)))
             self._joins = np.concatenate((self._joins, np.zeros(len(self._known), bool)))
-        if used + counts[-1] > len(self._ids):
-            self._ids = np.concatenate((self._ids, np.empty(used + int(counts[-1]), np.int32)))
-        self._ids[used : used + counts[-1]] = np.concatenate([np.empty(0, np.int32), *(np.array(x, np.int32) for x in found)])
-        self._ends[at + 1 : at + 1 + len(new)] = used + counts
-        self._joins[at : at + len(new)] = [not c or c[-1].isspace() or c[0].isspace() for c in new]
+        if used + len(ids) > len(self._ids):
+            self._ids = np.concatenate((self._ids, np.empty(used + len(ids), np.int32)))
+        self._ids[used : used + len(ids)] = ids
+        self._ends[at + 1 : at + 1 + len(new)] = used + np.cumsum(counts)
+        self._joins[at : at + len(new)] = joins
         self._chars += sum(map(len, new))
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -131,7 +150,7 @@ class Encoder:
         return np.concatenate([rest[k] if k in rest else self._ids[self._ends[o] : self._ends[o + 1]] for k, o in enumerate(own)])
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.int32) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _gather(self, slots: np.ndarray) -> np.ndarray:
         start, count = self._ends[slots], self._ends[slots + 1] - self._ends[slots]
