@@ -175,10 +175,14 @@ def mix(docs: DataFrame, most: int = MOST, partitions: int | None = None) -> Dat
     given = placed.groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("size") * F.col("extra")).alias("__last"))
     placed = placed.join(given, F.col("source").eqNullSafe(F.col("__s"))).where((F.col("size") > 0) & ((F.col("passes") > 0) | (F.col("extra") > 0)))
     placed = placed.select(*[F.col(c).alias(f"__{c}") for c in ("source", "doc_id", "key", "size", "rows", "nth", "source_size", "passes", "extra", "before")], "__last")
-    # a row for each distinct document; what repeats is combined before the shuffle
     rows = docs.withColumn("__k", row_key("doc_id", "text"))
-    one = rows.groupBy("source", "doc_id", "__k").agg(F.min(F.struct(*own)).alias("__row"))
-    joined = one.join(placed, F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__k") == F.col("__key")))
+    on = F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__k") == F.col("__key"))
+    joined = rows.join(placed.where("__rows = 1"), on)
+    several = placed.where("__rows > 1")
+    if not several.isEmpty():  # of rows that repeat one is taken, and repeated as often as the mix says
+        names = ["__source", "__doc_id", "__key"]
+        once = rows.join(several.select(names), on, "left_semi").dropDuplicates(["source", "doc_id", "__k"])
+        joined = joined.unionByName(once.join(several, on))
     copies = joined.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows") - 1))).withColumn(
         "__n", F.col("__passes") + F.when(F.col("__i") < F.col("__extra"), 1).otherwise(0)
     )
@@ -186,7 +190,7 @@ def mix(docs: DataFrame, most: int = MOST, partitions: int | None = None) -> Dat
     stream = F.col("__passes") * F.col("__source_size") + F.col("__last")
     place = (F.col("copy") * F.col("__source_size") + F.col("__before") + F.col("__i") * F.col("__size") + F.col("__size") * F.lit(0.5)) / stream
     out = copies.withColumn("position", training_position(place, F.col("__nth") % len(SCHEDULES)))
-    out = out.select(*[F.col("__row")[c].alias(c) for c in own], "position", "copy")
+    out = out.select(*own, "position", "copy")
     part = F.least(F.lit(partitions - 1), F.floor(F.col("position") * partitions)).cast("int")
     return out.repartitionById(partitions, part).sortWithinPartitions("position", "doc_id", "copy")
 
