@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import parts
+
 _NONE = np.iinfo(np.int64).max
 #: A worker's cache of chunks is emptied beyond so many entries or characters.
 CACHE_ENTRIES, CACHE_CHARS = 600_000, 16_000_000
@@ -251,18 +253,6 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of texts with about so many characters, at least one text."""
-    start = total = 0
-    for k, t in enumerate(texts):
-        total += len(t or "")
-        if total >= chars:
-            yield start, k + 1
-            start, total = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns of docs and an array<int> column of token ids.
 
@@ -275,13 +265,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts):
-                arrays = tok.encode_batch(texts[a:b])
+            for part in parts(batch, at):
+                arrays = tok.encode_batch(part.column(at).to_pylist())
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
                 flat = np.concatenate([np.empty(0, np.int32), *arrays])
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, column], names=[*batch.schema.names, ids])
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids])
 
     out = keep.schema.add(ids, "array<int>")
     return keep.mapInArrow(run, out)
@@ -314,13 +303,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                arrays = tok.encode_batch(texts[a:b])
+            for part in parts(batch, 1):
+                arrays = tok.encode_batch(part.column(1).to_pylist())
                 one = [hashlib.sha256(tok.numeral_text(x).encode()).hexdigest() for x in arrays]
                 two = [hashlib.sha256(tok.decode(x).encode()).hexdigest() for x in arrays]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(x) for x in arrays], pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
+                    [part.column(0), pa.array([len(x) for x in arrays], pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 

@@ -5,8 +5,12 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,3 +65,15 @@ def file_system(uri: str):
 def seeded(*what: object) -> int:
     """A 63-bit seed that is the same in every process."""
     return int.from_bytes(hashlib.sha256(repr(what).encode()).digest()[:8], "little") >> 1
+
+
+def parts(batch: pa.RecordBatch, text: int | str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch with about so many bytes of text, one row at least."""
+    column = batch.column(text)
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(total[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(total, before + size)) + 1)
+        yield batch.slice(start, end - start)
+        start = min(end, batch.num_rows)

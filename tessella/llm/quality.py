@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import slices
-from tessella.llm.common import written
+from tessella.llm.common import parts, written
 from tessella.llm.setsketch import word_hashes
 
 #: Weights of the pooled covariance and of the identity in a class's covariance.
@@ -150,11 +149,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 1_000_000):
-                x = features(texts[a:b])
+            for part in parts(batch, 1):
+                x = features(part.column(1).to_pylist())
                 column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), column], names=["doc_id", "x"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
@@ -199,16 +197,17 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, whole, whose score reaches the threshold; only the labelled rows' statistics are written."""
-    known = labels.select(F.col("doc_id").cast("long").alias("__id")).distinct()
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, F.col("doc_id") == F.col("__id"), "left_semi")
-    model = train(statistics(labelled), labels)
+    """The rows of docs, whole, whose score reaches the threshold.
+
+    The model is fitted on statistics as in :func:`scores`; the rows are then
+    scored where they are scanned, so no text is shuffled.
+    """
+    model = train(written(statistics(docs), "statistics"), labels)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in slices(texts, 1_000_000):
-                yield batch.slice(a, b - a).filter(pa.array(model.score(features(texts[a:b])) >= threshold))
+            for part in parts(batch, at):
+                yield part.filter(pa.array(model.score(features(part.column(at).to_pylist())) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import seeded, written
+from tessella.llm.common import parts, seeded, written
 
 WORDS, PERCENT = 5, 70
 BANDS, ROWS = 32, 3
@@ -170,19 +170,17 @@ def likely_similarity(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below
 
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, c1, c2, registers) of every row; registers null for an empty set."""
-    from tessella.llm.bpe import slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 1_000_000):
-                sets = shingle_sets(texts[a:b])
+            for part in parts(batch, 1, 1_000_000):
+                sets = shingle_sets(part.column(1).to_pylist())
                 full = [s for s in sets if len(s)]
                 regs = (r.tobytes() for r in registers(full)) if full else iter(())
                 keys = [class_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a),
+                        part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
@@ -297,6 +295,11 @@ def cross_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
 # -- step 3: confirmation on the full sets ---------------------------------------------------
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the threshold.
 
@@ -308,7 +311,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     pivots = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
     wanted = members.unionByName(pivots).join(classes.select("node", "first_id", "c1", "c2"), "node")
     wanted = written(wanted, "wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    side = _checked(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = texts.join(side, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("a", "salt", "role", "node", "c1", "c2", "text")
 
@@ -316,20 +319,20 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
         """Rows that repeat go out once a task."""
         seen: set[tuple] = set()
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(4)), map(hash, batch.column(6).to_pylist())))
-            fresh = [not (k in seen or seen.add(k)) for k in keys]
-            yield batch.filter(pa.array(fresh, pa.bool_()))
+            for part in parts(batch, 6):
+                keys = list(zip(*(part.column(k).to_pylist() for k in range(4)), map(hash, part.column(6).to_pylist())))
+                fresh = [not (k in seen or seen.add(k)) for k in keys]
+                yield part.filter(pa.array(fresh, pa.bool_()))
 
     met = met.mapInArrow(once, met.schema).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot_of, pivot = None, np.empty(0, np.uint64)
         for batch in batches:
-            a_out, b_out = [], []
-            rows = batch.to_pydict()
-            for k in range(0, batch.num_rows, 256):
-                sets = shingle_sets(rows["text"][k : k + 256])
-                for i, own in enumerate(sets, k):
+            for part in parts(batch, 6, 1_000_000):
+                a_out, b_out = [], []
+                rows = part.to_pydict()
+                for i, own in enumerate(shingle_sets(rows["text"])):
                     if class_key(own) != (rows["c1"][i], rows["c2"][i]):
                         continue  # another text of the same doc_id
                     group = (rows["a"][i], rows["salt"][i])
@@ -340,7 +343,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                         if both * 100 >= PERCENT * (len(pivot) + len(own) - both):
                             a_out.append(group[0])
                             b_out.append(rows["node"][i])
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     return met.mapInArrow(run, "a long, b long")
 
@@ -409,19 +412,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = written(_resolved(docs), "resolved")
     stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = written(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__stays")).where("__stays").drop("__stays"), "ids")
-    out = docs.join(ids.where("__n = 1 and __id is not null"), F.col("doc_id") == F.col("__id"), "left_semi")
-    several = ids.where("__n > 1 or __id is null").select("__id")
+    ids = written(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__stays")), "ids")
+    single = (F.col("__n") == 1) & F.col("__id").isNotNull()
+    # what goes is less than what stays; up to a size it is broadcast, and no text is shuffled
+    out = docs.join(_checked(ids.where(~(single & F.col("__stays"))).select("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    several = ids.where(~single & F.col("__stays")).select("__id")
     if several.isEmpty():
         return out
     rows = docs.join(several, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(batch.column(at).to_pylist())
+        for part in (x for batch in batches for x in parts(batch, at, 1_000_000)):
+            sets = shingle_sets(part.column(at).to_pylist())
             keys = [class_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=[*batch.schema.names, "__size", "__c1", "__c2"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=[*part.schema.names, "__size", "__c1", "__c2"])
 
     keyed = rows.mapInArrow(run, rows.schema.add("__size", "long").add("__c1", "long").add("__c2", "long"))
     own = ["__size", "__c1", "__c2"]

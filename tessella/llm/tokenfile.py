@@ -44,8 +44,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import CACHE_CHARS, CACHE_ENTRIES, _Slots, slices
-from tessella.llm.common import file_system, new_folder, written
+from tessella.llm.bpe import CACHE_CHARS, CACHE_ENTRIES, _Slots
+from tessella.llm.common import file_system, new_folder, parts, written
 
 END = 2
 LEVEL = 3
@@ -218,26 +218,26 @@ def _codecs(dictionary: bytes):
 # -- writing -------------------------------------------------------------------------------
 
 
-def _bounds(docs: DataFrame, parts: int) -> np.ndarray:
-    """parts - 1 ascending bounds of doc_id; a bound occurs several times where one doc_id fills several parts."""
-    if parts < 2:
+def _bounds(docs: DataFrame, files: int) -> np.ndarray:
+    """files - 1 ascending bounds of doc_id; a bound occurs several times where one doc_id fills several files."""
+    if files < 2:
         return np.empty(0, np.int64)
-    at = [k / parts for k in range(1, parts)]
-    got = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("d")).agg(F.percentile_approx("d", at, 100 * parts).alias("b")).first()["b"]
+    at = [k / files for k in range(1, files)]
+    got = docs.select(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("d")).agg(F.percentile_approx("d", at, 100 * files).alias("b")).first()["b"]
     return np.array(got or [], np.int64)
 
 
-def write(docs: DataFrame, path: str, folder: str, parts: int | None = None, end: int = END) -> DataFrame:
+def write(docs: DataFrame, path: str, folder: str, files: int | None = None, end: int = END) -> DataFrame:
     """Write the ids of docs (doc_id, text) in folder; the manifest, one row a file in doc_id order.
 
     Manifest: part, name, documents, tokens, start (ids in earlier files).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dictionary = dictionary_of(docs, path)
     digest = hashlib.sha256(dictionary).digest()
-    bounds = _bounds(docs, parts)
+    bounds = _bounds(docs, files)
     fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary") as f:
@@ -246,18 +246,16 @@ def write(docs: DataFrame, path: str, folder: str, parts: int | None = None, end
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, pack = encoder(path), _codecs(dictionary)[0]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            column = batch.column(0)
-            key = column.fill_null(_LAST).to_numpy()
-            low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
-            for a, b in slices(texts):
-                raw = [serialized(np.append(x, end), enc.width) for x in enc.encode_batch(texts[a:b])]
+            for own in parts(batch, 1):
+                key = own.column(0).fill_null(_LAST).to_numpy()
+                low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+                raw = [serialized(np.append(x, end), enc.width) for x in enc.encode_batch(own.column(1).to_pylist())]
                 tie = np.array([int.from_bytes(hashlib.blake2b(r, digest_size=7).digest(), "big") for r in raw], np.int64)
-                part = low[a:b] + ((high[a:b] - low[a:b] + 1) * (tie / 2.0**56)).astype(np.int64)
+                part = low + ((high - low + 1) * (tie / 2.0**56)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.minimum(part, high[a:b]).astype(np.int32)),
-                        column.slice(a, b - a),
+                        pa.array(np.minimum(part, high).astype(np.int32)),
+                        own.column(0),
                         pa.array(tie),
                         pa.array([len(r) // enc.width for r in raw], pa.int64()),
                         pa.array([pack.compress(r) for r in raw], pa.binary()),
@@ -266,7 +264,7 @@ def write(docs: DataFrame, path: str, folder: str, parts: int | None = None, end
                 )
 
     frames = docs.mapInArrow(compress, "part int, doc_id long, tie long, n_tokens long, frame binary")
-    placed = frames.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "tie")
+    placed = frames.repartitionById(files, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "tie")
     width = encoder(path).width
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
