@@ -43,28 +43,41 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def _over_blocks(rows: DataFrame, order: list, value: Column, name: str, total) -> DataFrame:
-    """rows and the running total of value: within the block, together with that of all earlier blocks."""
-    rows = rows.withColumn("__v", value)
+def _over_blocks(rows: DataFrame, order: list, values: dict[str, Column], total) -> DataFrame:
+    """rows and running totals: within the block, together with those of all earlier blocks."""
+    rows = rows.withColumns({f"__v_{n}": v for n, v in values.items()})
     within = W.partitionBy("conv", "block").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    sums = rows.groupBy("conv", "block").agg(total("__v").alias("__t"))
+    sums = rows.groupBy("conv", "block").agg(*[total(f"__v_{n}").alias(f"__t_{n}") for n in values])
     earlier = W.partitionBy("conv").orderBy(F.col("block").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv").alias("__c"), F.col("block").alias("__b"), F.coalesce(total("__t").over(earlier), F.lit(0)).alias("__base"))
-    out = rows.withColumn("__in", total("__v").over(within)).join(sums, _same("conv", "__c") & _same("block", "__b"))
-    both = F.col("__in") + F.col("__base") if total is F.sum else F.col("__in").bitwiseXOR(F.col("__base"))
-    return out.withColumn(name, both).drop("__v", "__in", "__base", "__c", "__b")
+    sums = sums.select(F.col("conv").alias("__c"), F.col("block").alias("__b"), *[F.coalesce(total(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__base_{n}") for n in values])
+    out = rows.withColumns({f"__in_{n}": total(f"__v_{n}").over(within) for n in values}).join(sums, _same("conv", "__c") & _same("block", "__b"))
+    both = lambda a, b: a + b if total is F.sum else a.bitwiseXOR(b)
+    return out.select(*[c for c in rows.columns if not c.startswith("__v_")], *[both(F.col(f"__in_{n}"), F.col(f"__base_{n}")).alias(n) for n in values])
+
+
+def _turn_key() -> Column:
+    """A turn's role and text as one hash; nulls differ from empty strings."""
+    part = lambda c: F.coalesce(F.concat(F.lit("1"), F.md5(F.col(c).cast("string"))), F.lit("0"))
+    return F.md5(F.concat(part("role"), part("text")))
+
+
+def _turns(chats: DataFrame) -> DataFrame:
+    own = chats.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    return own.withColumn("key", _turn_key())
 
 
 def prefixes(chats: DataFrame) -> DataFrame:
-    """(conv, place, h1, h2, role, text): every turn with its place from 1 and the hash of the turns up to it."""
-    turns = chats.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
+    """(conv, place, h1, h2, turn, key): every different turn with its place from 1 and the hash of the turns up to it.
+
+    Hashes stand for the texts, which aren't shuffled here.
+    """
+    turns = _turns(chats).select("conv", "turn", F.coalesce("role", F.lit("")).alias("role"), F.col("role").isNotNull().alias("named"), "key").distinct()
     turns = turns.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    order = [F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    turns = _over_blocks(turns, order, F.lit(1).cast("long"), "place", F.sum)
-    own = lambda salt: F.xxhash64(F.lit(salt), "place", F.col("role").isNull(), "role", F.col("text").isNull(), "text")
-    turns = _over_blocks(turns, order, own("one"), "h1", F.bit_xor)
-    turns = _over_blocks(turns, order, own("two"), "h2", F.bit_xor)
-    return turns.select("conv", "place", "h1", "h2", "role", "text")
+    order = [F.col("turn").asc_nulls_last(), F.col("named"), F.col("role"), F.col("key")]
+    turns = _over_blocks(turns, order, {"place": F.lit(1).cast("long")}, F.sum)
+    own = lambda salt: F.xxhash64(F.lit(salt), "place", "key")
+    turns = _over_blocks(turns, order, {"h1": own("one"), "h2": own("two")}, F.bit_xor)
+    return turns.select("conv", "place", "h1", "h2", "turn", "key")
 
 
 def maximal(placed: DataFrame) -> DataFrame:
@@ -87,7 +100,9 @@ def collapse(chats: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, copies, text) of the maximal conversations; copies: equal conversations, itself included."""
     placed = written(prefixes(chats), "chat-prefixes")
     kept = maximal(placed).withColumnRenamed("conv", "__k")
-    turns = placed.join(kept, _same("conv", "__k"))
+    places = placed.join(kept, _same("conv", "__k")).select(F.col("conv").alias("__c"), F.col("turn").alias("__t"), F.col("key").alias("__h"), "place", "n_turns", "copies")
+    texts = _turns(chats).distinct()
+    turns = texts.join(places, _same("conv", "__c") & _same("turn", "__t") & (F.col("key") == F.col("__h")))
     part = F.floor((F.col("place") - 1) / PART).cast("int")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", rendered_turn(F.col("role"), F.col("text")).alias("t")))), lambda x: x["t"]), "")
     return turns.groupBy(F.col("conv").alias("conv_id"), part.alias("part"), "n_turns", "copies").agg(text.alias("text")).select("conv_id", "part", "n_turns", "copies", "text")
@@ -96,9 +111,9 @@ def collapse(chats: DataFrame) -> DataFrame:
 def sql() -> str:
     """collapse over conversations in DuckDB SQL, which compares whole lists of turns."""
     return f"""
-with d as (select distinct conv_id, turn, role, text from conversations),
-t as (select *, row_number() over (partition by conv_id order by turn nulls last, role nulls first, text nulls first) as place from d),
-p as (select conv_id, place, array_agg(md5(coalesce('1' || role, '0')) || md5(coalesce('1' || text, '0'))) over (partition by conv_id order by place) as turns from t),
+with d as (select distinct conv_id, turn, role, text, md5(coalesce('1' || md5(role), '0') || coalesce('1' || md5(text), '0')) as key from conversations),
+t as (select *, row_number() over (partition by conv_id order by turn nulls last, role nulls first, key) as place from d),
+p as (select conv_id, place, array_agg(key) over (partition by conv_id order by place) as turns from t),
 m as (select conv_id, max(place) as n from t group by conv_id),
 w as (select m.n as n_turns, p.turns, min(m.conv_id) as conv_id, count(*) as copies from m join p on p.conv_id is not distinct from m.conv_id and p.place = m.n group by m.n, p.turns),
 x as (select distinct p.turns from p join m on p.conv_id is not distinct from m.conv_id where p.place < m.n),
