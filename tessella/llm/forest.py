@@ -123,9 +123,14 @@ class Forest:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row inner products in double precision, alike wherever a pair is computed."""
-    dims = max(a.shape[1], b.shape[1])
-    return (widened(a, dims) * widened(b, dims)).sum(axis=1)
+    """Row by row inner products in double precision, added from the first component to the last.
+
+    In that order a pair has the same score in whatever batch it is computed.
+    """
+    out = np.zeros(len(a))
+    for d in range(min(a.shape[1], b.shape[1])):
+        out += a[:, d] * b[:, d]
+    return out
 
 
 def _classes(rows: DataFrame, k: int) -> DataFrame:
@@ -292,7 +297,7 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
             q, c, s = best.result()
             yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["q", "cid", "score"])
 
-    found = met.mapInArrow(run, "q long, cid long, score double").distinct()
+    found = met.mapInArrow(run, "q long, cid long, score double").groupBy("q", "cid").agg(F.max("score").alias("score"))
     # back from classes to rows: copies of a candidate, and of the query itself
     order = W.partitionBy("q").orderBy(F.desc("score"), "cid")
     found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "cid", "score")
