@@ -13,7 +13,7 @@ Defined results for odd input: a null text stays null and counts as a page
 without lines; an empty text stays empty; a null host is a host of its own; a
 page left without lines has the empty text and stays; a row that occurs twice
 counts twice; rows that share a doc_id are judged each by its own host; extra
-columns come back as they were.  An empty table gives an empty table.
+columns come back as they were (names that begin with __ are reserved).  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -49,13 +49,13 @@ def frequent_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO,
 def drop_boilerplate(pages: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with the boilerplate lines gone from ``text``, and lines_dropped."""
     bad = frequent_lines(pages, host, text, ratio, min_pages).select(F.col("host").alias("b_host"), F.col("line").alias("b_line"))
-    seen = pages.select(F.col(key).alias("k"), F.col(host).alias("h"), F.explode(F.array_distinct(F.transform(_lines(text), _hash))).alias("line"))
+    seen = pages.select(F.col(key).alias("__k"), F.col(host).alias("__h"), F.explode(F.array_distinct(F.transform(_lines(text), _hash))).alias("line"))
     drops = (
-        seen.join(bad, F.col("h").eqNullSafe(F.col("b_host")) & (F.col("line") == F.col("b_line")))
-        .groupBy("k", "h")
+        seen.join(bad, F.col("__h").eqNullSafe(F.col("b_host")) & (F.col("line") == F.col("b_line")))
+        .groupBy("__k", "__h")
         .agg(F.collect_set("line").alias("__drop"))  # no more than a host has frequent lines
     )
-    joined = pages.drop("lines_dropped", "__drop").join(drops, F.col(key).eqNullSafe(F.col("k")) & F.col(host).eqNullSafe(F.col("h")), "left").drop("k", "h")
+    joined = pages.drop("lines_dropped", "__drop").join(drops, F.col(key).eqNullSafe(F.col("__k")) & F.col(host).eqNullSafe(F.col("__h")), "left").drop("__k", "__h")
     lines = _lines(text)
     kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _hash(x)))
     touched = F.col("__drop").isNotNull() & F.col(text).isNotNull()
