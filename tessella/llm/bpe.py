@@ -28,8 +28,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from tessella.llm.common import parts
+from tessella.llm.common import parts, with_fields
 
 _NONE = np.iinfo(np.int64).max
 #: A worker's cache of chunks is emptied beyond so many entries or characters.
@@ -272,8 +273,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, ids])
 
-    out = keep.schema.add(ids, "array<int>")
-    return keep.mapInArrow(run, out)
+    return keep.mapInArrow(run, with_fields(keep, **{ids: ArrayType(IntegerType())}))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -290,7 +290,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
             texts = [tok.decode(flat[a:b]) if ok else "" for a, b, ok in zip(offsets[:-1], offsets[1:], valid)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    return keep.mapInArrow(run, keep.schema.add(text, "string"))
+    return keep.mapInArrow(run, with_fields(keep, **{text: StringType()}))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

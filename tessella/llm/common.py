@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +78,8 @@ def parts(batch: pa.RecordBatch, text: int | str, size: int = 2_000_000) -> Iter
         end = max(start + 1, int(np.searchsorted(total, before + size)) + 1)
         yield batch.slice(start, end - start)
         start = min(end, batch.num_rows)
+
+
+def with_fields(df: DataFrame, **fields: DataType) -> StructType:
+    """df's schema and further fields; df keeps its own (StructType.add would change it)."""
+    return StructType([*df.schema.fields, *(StructField(name, kind) for name, kind in fields.items())])

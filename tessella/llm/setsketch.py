@@ -39,8 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from tessella.llm.common import parts, seeded, written
+from tessella.llm.common import parts, seeded, with_fields, written
 
 WORDS, PERCENT = 5, 70
 BANDS, ROWS = 32, 3
@@ -428,7 +429,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
             keys = [class_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=[*part.schema.names, "__size", "__c1", "__c2"])
 
-    keyed = rows.mapInArrow(run, rows.schema.add("__size", "long").add("__c1", "long").add("__c2", "long"))
+    keyed = rows.mapInArrow(run, with_fields(rows, __size=LongType(), __c1=LongType(), __c2=LongType()))
     own = ["__size", "__c1", "__c2"]
     best = found.where(stays & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("__id"), F.col("c1").alias("__w1"), F.col("c2").alias("__w2")).distinct()
     full = keyed.where("__size > 0").join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__c1") == F.col("__w1")) & (F.col("__c2") == F.col("__w2")), "left_semi")
