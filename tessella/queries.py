@@ -235,18 +235,23 @@ def stem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _headings() -> Column:
-    """Title and h1 texts by pattern, JVM-side: what the pages table has besides b."""
+    """The first title and the first h1 without attributes, by pattern, JVM-side: the part of the tags that SQL can say."""
     of = lambda tag: F.filter(F.array(T.strip_html(F.regexp_extract("content", rf"(?is)<{tag}>([^<]*)", 1))), lambda x: x != "")
     return F.create_map(F.lit("title"), of("title"), F.lit("h1"), of("h1"))
 
 
-def _page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages within the limits of length, unstemmed, with title and h1 as tags."""
-    docs = parse.parsed(_pages(spark, sf_dir), stemmed=False, tags=_headings())
+def _page_docs(spark: SparkSession, sf_dir: str, tags: Column | None = None) -> DataFrame:
+    """Pages within the limits of length, unstemmed, with the tags of the HTML scanner, or those given."""
+    docs = parse.parsed(_pages(spark, sf_dir), stemmed=False, tags=tags)
     docs = docs.where(dedup.length_reason(F.size("original_tokens")).isNull())
     return docs.select(F.col("path").alias("doc_id"), "url", "tokens", "two_grams", "three_grams", "original_tokens", "tag_map", F.col("file_size").alias("raw_size"))
 
 
+def _heading_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_page_docs with no tags but title and h1, for the queries held against SQL; the whole ones have names in _tags."""
+    return _page_docs(spark, sf_dir, _headings())
+
+
 @query(f"with {_PAGES} select doc_id, array_to_string(title, ' ') as title, array_to_string(h1, ' ') as h1 from h")
 def tag_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = tag_tokens(tag_map("content"))
@@ -269,9 +274,18 @@ def postings_invert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("term", "gram_n").agg(F.count("*").alias("n_postings"), F.sum("pos").alias("positions"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
+def _tag_postings(docs: DataFrame) -> DataFrame:
+    return postings.invert(docs).where("type = 1").select("term", "tag", "doc_id", "pos")
+
+
 @query(f"with {_PAGE_P} select term, tag, doc_id, pos::int as pos from p where type = 1")
 def postings_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return postings.invert(_page_docs(spark, sf_dir)).where("type = 1").select("term", "tag", "doc_id", "pos")
+    return _tag_postings(_heading_docs(spark, sf_dir))
+
+
+@query()
+def postings_all_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tag_postings(_page_docs(spark, sf_dir))
 
 
 @query(f"with {_P} select doc_id, count(*) as doc_len from p group by doc_id")
@@ -286,6 +300,11 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_PAGE_P} select term, gram_n, doc_id, sum({_TAGGED})::double as weight, count(*) as n_postings from p group by 1, 2, 3")
 def term_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.term_docs(postings.invert(_heading_docs(spark, sf_dir))).drop("bytes")
+
+
+@query()
+def term_doc_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.term_docs(postings.invert(_page_docs(spark, sf_dir))).drop("bytes")
 
 
@@ -327,24 +346,38 @@ def posting_header_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "type", codec.posting_header().alias("header"), codec.posting_bytes().cast("int").alias("bytes"))
 
 
+def _round_trip(docs: DataFrame) -> DataFrame:
+    back = codec.import_records(codec.export_records(postings.invert(docs)))
+    return back.select("term", F.col("type").cast("int").alias("type"), "doc_id", "tag", "pos")
+
+
 @query(f"with {_PAGE_P} select term, type::int as type, doc_id, tag, pos::int as pos from p")
 def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = postings.invert(_page_docs(spark, sf_dir))
-    back = codec.import_records(codec.export_records(rows))
-    return back.select("term", F.col("type").cast("int").alias("type"), "doc_id", "tag", "pos")
+    return _round_trip(_heading_docs(spark, sf_dir))
+
+
+@query()
+def codec_round_trip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(_page_docs(spark, sf_dir))
 
 
-def _page_index(spark: SparkSession, sf_dir: str) -> plan.Index:
+def _sought(spark: SparkSession, docs: DataFrame) -> DataFrame:
     import uuid
 
-    return plan.build(_page_docs(spark, sf_dir)).save(f"{folder(spark)}/index-{uuid.uuid4().hex}")
+    index = plan.build(docs).save(f"{folder(spark)}/index-{uuid.uuid4().hex}")
+    found = plan.seek(index, ["the", "de", "die", "la", "and", "of+the"])
+    return found.select("term", F.col("type").cast("int").alias("type"), "doc_id", "tag", "pos")
 
 
 @query(f"""with {_PAGE_P}, f as (select term from p group by term having count(*) > 1)
 select p.term, type::int as type, doc_id, tag, pos::int as pos from p semi join f using (term) where p.term in ('the', 'de', 'die', 'la', 'and', 'of+the')""")
 def index_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = plan.seek(_page_index(spark, sf_dir), ["the", "de", "die", "la", "and", "of+the"])
-    return found.select("term", F.col("type").cast("int").alias("type"), "doc_id", "tag", "pos")
+    return _sought(spark, _heading_docs(spark, sf_dir))
+
+
+@query()
+def index_seek_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sought(spark, _page_docs(spark, sf_dir))
 
 
 # -- queries --------------------------------------------------------------------------------------
@@ -390,11 +423,21 @@ def _best(spark: SparkSession, sf_dir: str, docs: DataFrame, ranker: str, text_w
 
 @query(_ranked(_PAGE_P, _TAGGED, "tfidf", _ASKED))
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(spark, sf_dir, _heading_docs(spark, sf_dir), rank.TFIDF, 0.0)
+
+
+@query()
+def tfidf_topk_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir, _page_docs(spark, sf_dir), rank.TFIDF, 0.0)
 
 
 @query(_ranked(_PAGE_P, _TAGGED, "bm25", _ASKED))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(spark, sf_dir, _heading_docs(spark, sf_dir), rank.BM25, 0.0)
+
+
+@query()
+def bm25_topk_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir, _page_docs(spark, sf_dir), rank.BM25, 0.0)
 
 
@@ -408,10 +451,18 @@ def bm25_topk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir, _plain(spark, sf_dir), rank.BM25, 1.0)
 
 
+def _repeated(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(1, "the", 1), (2, "the", 2), (3, "the", 3), (3, "und", 1)], "query_id int, term string, m int")
+
+
 @query(_ranked(_PAGE_P, _TAGGED, "tfidf", "q as (select * from (values (1, 'the', 1.0::double), (2, 'the', 2.0::double), (3, 'the', 3.0::double), (3, 'und', 1.0::double)) v(query_id, term, m))"))
 def dup_term_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = spark.createDataFrame([(1, "the", 1), (2, "the", 2), (3, "the", 3), (3, "und", 1)], "query_id int, term string, m int")
-    return _best(spark, sf_dir, _page_docs(spark, sf_dir), rank.TFIDF, 0.0, counts)
+    return _best(spark, sf_dir, _heading_docs(spark, sf_dir), rank.TFIDF, 0.0, _repeated(spark))
+
+
+@query()
+def dup_term_query_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(spark, sf_dir, _page_docs(spark, sf_dir), rank.TFIDF, 0.0, _repeated(spark))
 
 
 @query()
