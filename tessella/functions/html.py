@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
 
+from tessella.functions.entities import unescaped_texts
+
 TAGS = {"title": "title", "h1": "h1", "h2": "h2", "h3": "h3", "b": "b", "strong": "b", "i": "i", "em": "i"}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FORMAT = frozenset("a b big code em font i nobr s small strike strong tt u".split())
@@ -195,7 +197,8 @@ def tag_map(html: str | Column) -> Column:
 
 def tag_tokens(tags: str | Column) -> Column:
     """MAP<tag, tokens> of a tag map: its texts' tokens, one after another, not stemmed."""
-    from tessella.functions.text import strip_html, tokens
+    from tessella.functions.text import strip_tags, tokens
 
     column = F.col(tags) if isinstance(tags, str) else tags
-    return F.transform_values(column, lambda _, texts: F.flatten(F.transform(texts, lambda t: tokens(strip_html(t)))))
+    stripped = F.transform_values(column, lambda _, texts: F.transform(texts, strip_tags))
+    return F.transform_values(unescaped_texts(stripped), lambda _, texts: F.flatten(F.transform(texts, tokens)))

@@ -235,7 +235,7 @@ def stem_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _headings() -> Column:
-    """The first title and the first h1 without attributes, by pattern, JVM-side: the part of the tags that SQL can say."""
+    """The first title and the first h1 without attributes, by pattern: the part of the tags that SQL can say."""
     of = lambda tag: F.filter(F.array(T.strip_html(F.regexp_extract("content", rf"(?is)<{tag}>([^<]*)", 1))), lambda x: x != "")
     return F.create_map(F.lit("title"), of("title"), F.lit("h1"), of("h1"))
 
