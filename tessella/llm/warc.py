@@ -2,8 +2,10 @@
 
 A crawler that asks with a validator and gets 304 writes a revisit record
 without a body.  Each is resolved by an as-of join: the latest earlier full
-response with the same canonical URL is its original, if the validators agree
-(the entity tag, compared weakly; without one, the modification date).  The
+response (its status one of ``FULL``; partial content, redirects, errors and
+responses without a status are passed over) with the same canonical URL is its
+original, if the validators agree (the entity tag, compared weakly; without
+one, the modification date).  The
 resolved record has the original's body, and the original's headers updated by
 those of the revisit that a 304 may change.
 
@@ -13,10 +15,10 @@ ranges.  A URL with a third of all records is so spread over all ranges; only
 ids, dates, headers and digests take part, and bodies are joined afterwards.
 Records of equal URL and date follow by id, responses before revisits.
 
-Status of a record: ``response`` (full itself), ``resolved``, ``mismatch`` (the
-latest earlier response has another validator), ``unverified`` (nothing to
+Status of a record: ``response`` (no revisit), ``resolved``, ``mismatch`` (the
+latest earlier full response has another validator), ``unverified`` (nothing to
 compare: the revisit or its original has no validator), ``missing`` (no earlier
-response).  Only ``resolved`` records get the original's body and headers.
+full response).  Only ``resolved`` records get the original's body and headers.
 
 Canonical URL: without fragment; host in lower case without user, default port
 or a leading ``www.``; scheme ignored; empty path as ``/``; query arguments
@@ -44,6 +46,8 @@ from pyspark.sql import functions as F
 from tessella.llm.common import file_system, new_folder, written
 
 RANGES = 64
+#: Statuses of responses whose body is a whole page, and so may be a revisit's original.
+FULL = (200, 203)
 #: Headers of a stored response that a 304 never changes: what describes the body, and the connection's own.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-location", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
 SCHEMA = "record_id string, kind string, url string, date timestamp, status int, headers map<string,string>, body binary"
@@ -97,11 +101,12 @@ def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
     # what can't be resolved takes no part in the windows, so null URLs gather nowhere
     apart = F.col("canonical").isNull()
     rows = rows.withColumn("span", span)
-    original = F.when(F.col("kind") == "response", F.struct("record_id", "status", "headers", "digest"))
+    full = (F.col("kind") == "response") & F.col("status").isin(*FULL)
+    original = F.when(full, F.struct("record_id", "status", "headers", "digest"))
     near = rows.where(~apart).withColumn("own", original)
     order = ["at", F.when(F.col("kind") == "response", 0).otherwise(1), "record_id"]
     within = W.partitionBy("canonical", "span").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    last = near.where("kind = 'response'").groupBy("canonical", "span").agg(F.max_by("own", F.struct("at", "record_id")).alias("o"))
+    last = near.where(full).groupBy("canonical", "span").agg(F.max_by("own", F.struct("at", "record_id")).alias("o"))
     spans = near.select("canonical", "span").distinct().join(last, ["canonical", "span"], "left")
     earlier = W.partitionBy("canonical").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
     spans = spans.select("canonical", "span", F.last("o", ignorenulls=True).over(earlier).alias("base"))

@@ -207,6 +207,19 @@ def test_many_captures_of_one_url_against_brute_force(spark):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("ranges", [64, 2])
+def test_revisits_pass_over_responses_that_are_not_full(spark, monkeypatch, ranges):
+    monkeypatch.setattr(warc, "RANGES", ranges)
+    tag = {"ETag": '"1"'}
+    rows = [("a", "response", "http://h/x", _day(1), 200, tag, b"whole"), ("z", "revisit", "http://h/x", _day(9), 304, tag, b"")]
+    rows += [(f"p{n}", "response", "http://h/x", _day(n + 2), status, headers, b"part") for n, (status, headers) in enumerate([(206, tag), (503, None), (301, {"ETag": '"2"'}), (304, tag), (None, tag)])]
+    rows += [("b", "response", "http://h/y", _day(1), 404, tag, b"none"), ("y", "revisit", "http://h/y", _day(9), 304, tag, b"")]
+    resolved = warc.resolve(spark.createDataFrame(rows, warc.SCHEMA))
+    got = {r.record_id: (r.resolution, r.original_id, r.status) for r in resolved.collect()}
+    assert got["z"] == ("resolved", "a", 200) and got["y"] == ("missing", None, 304)
+    assert got["p0"] == ("response", None, 206) and got["p4"] == ("response", None, None) and got["b"] == ("response", None, 404)
+
+
 def test_warc_files(spark):
     records = spark.createDataFrame([r for r in RECORDS if r[2]] + [("k", "response", "http://h/y", _day(1), 200, {"A": "b"}, bytes(range(256)) * 500)], warc.SCHEMA)
     folder = new_folder(spark, "test-warc")
