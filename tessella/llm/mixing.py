@@ -132,6 +132,27 @@ def mix_counts(docs: DataFrame, most: int = MOST) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", position.alias("position"))
 
 
+def mixed_counts(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """The columns of mix_counts, counted on the mix itself: written in full, in training order, and read again.
+
+    taken, copies and position are those of a row's copies in the mix; rows of
+    which it has none are added with 0.
+    """
+    placed = written(stream_places(docs, most), "mix-places")
+    own = ["source", "doc_id", "text"]
+    mixed = written(_mixed(docs.select(own), placed, None).select(*own, "position", "__i"), "mix")
+    counted = mixed.select("source", "doc_id", row_key("doc_id", "text").alias("key"), "__i", "position", word_count("text").alias("words"))
+    keys = ["source", "doc_id", "key", "__i"]
+    counted = counted.groupBy(*keys).agg(F.sum("words").alias("taken"), F.count("*").alias("copies"), F.min("position").alias("position"))
+    counted = counted.select(*[F.col(c).alias(f"__c_{c}") for c in keys], "taken", "copies", "position")
+    each = placed.select("source", "doc_id", "key", "size", "source_size", "target", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("__i"))
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"__c_{c}"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return each.join(counted, on, "left").select("doc_id", "size", "source_size", "target", zero("taken"), zero("copies"), "position")
+
+
 def training_position(place: Column, schedule: Column, schedules: tuple = SCHEDULES) -> Column:
     """The time at which a source has given this part (0 to 1) of its stream.
 
@@ -167,11 +188,15 @@ def mix(docs: DataFrame, most: int = MOST, partitions: int | None = None) -> Dat
     in order: positions lie nearly evenly between 0 and 1 by the words, so the
     ranges need no sampling pass.
     """
-    spark = docs.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = [c for c in docs.columns if c not in ("position", "copy")]
     docs = docs.select(own)
-    placed = stream_places(docs, most)
+    return _mixed(docs, stream_places(docs, most), partitions).drop("__i")
+
+
+def _mixed(docs: DataFrame, placed: DataFrame, partitions: int | None) -> DataFrame:
+    """mix of docs from their stream_places, with __i: which of the rows that repeat a copy is of."""
+    own = docs.columns
+    partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     given = placed.groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("size") * F.col("extra")).alias("__last"))
     placed = placed.join(given, F.col("source").eqNullSafe(F.col("__s"))).where((F.col("size") > 0) & ((F.col("passes") > 0) | (F.col("extra") > 0)))
     placed = placed.select(*[F.col(c).alias(f"__{c}") for c in ("source", "doc_id", "key", "size", "rows", "nth", "source_size", "passes", "extra", "before")], "__last")
@@ -190,7 +215,7 @@ def mix(docs: DataFrame, most: int = MOST, partitions: int | None = None) -> Dat
     stream = F.col("__passes") * F.col("__source_size") + F.col("__last")
     place = (F.col("copy") * F.col("__source_size") + F.col("__before") + F.col("__i") * F.col("__size") + F.col("__size") * F.lit(0.5)) / stream
     out = copies.withColumn("position", training_position(place, F.col("__nth") % len(SCHEDULES)))
-    out = out.select(*own, "position", "copy")
+    out = out.select(*own, "position", "copy", "__i")
     part = F.least(F.lit(partitions - 1), F.floor(F.col("position") * partitions)).cast("int")
     return out.repartitionById(partitions, part).sortWithinPartitions("position", "doc_id", "copy")
 

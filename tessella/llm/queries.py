@@ -40,7 +40,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+    return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
 
 def op7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

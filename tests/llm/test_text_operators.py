@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, lines, mixing, quality, setsketch, tokenfile
+from tessella.llm import bpe, lines, mixing, quality, queries, setsketch, tokenfile
 from tessella.llm.common import new_folder, parts
 from tessella.llm.queries import tokenizer_file
 from tests.llm.conftest import documents, prose
@@ -307,6 +307,19 @@ def test_mixing(spark, awkward, nothing):
     assert mixing.mix_counts(nothing).count() == mixing.mix(nothing).count() == 0
 
 
+def test_counts_are_those_of_the_mix(spark, awkward, nothing, monkeypatch):
+    rng = random.Random(18)
+    rows = [(n, prose(rng, rng.randint(0, 40)), rng.choice(["a", "a", "b", "c", None])) for n in range(200)] + [(7, "same text here", "b")] * 20
+    docs = documents(spark, rows + [tuple(r) for r in awkward.select("doc_id", "text", "source").collect()])
+    rounded = lambda df: sorted(repr((*r[:-1], r[-1] is not None and round(r[-1], 9))) for r in df.collect())
+    assert rounded(mixing.mixed_counts(docs)) == rounded(mixing.mix_counts(docs))
+    assert mixing.mixed_counts(nothing).count() == 0
+    inner = mixing._mixed
+    monkeypatch.setattr(mixing, "_mixed", lambda *args: inner(*args).where("doc_id <> 7"))  # a mix that lacks a document
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert {(r.taken, r.copies) for r in queries.op6_mixing(spark, "").where("doc_id = 7").collect()} == {(0, 0)}
+
+
 def test_training_positions_invert_the_integral(spark):
     places = [k / 50 for k in range(51)]
     for nth, knots in enumerate(mixing.SCHEDULES):
