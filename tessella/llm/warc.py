@@ -133,10 +133,14 @@ def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
 
 
 def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
-    """resolved with the body: its own, or the original's; record ids of responses must be unique."""
-    bodies = records.select(F.col("record_id").alias("__id"), "body")
+    """resolved with the body: its own, or the original's.
+
+    Joined by id and digest (that of resolve's default), so records that repeat stay as many as they are.
+    """
+    digest = F.md5(F.coalesce(F.col("body"), F.lit(b"")))
+    bodies = records.select(F.col("record_id").alias("__id"), digest.alias("__digest"), "body").groupBy("__id", "__digest").agg(F.first("body").alias("body"))
     wanted = F.coalesce("original_id", "record_id")
-    return resolved.join(bodies, wanted == F.col("__id"), "left").drop("__id")
+    return resolved.join(bodies, wanted.eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
 
 
 def header_lines(headers: str | Column) -> Column:
@@ -280,11 +284,11 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def resolved_pages(pages: DataFrame) -> DataFrame:
-    """Captures of pages written as WARC files, read again and resolved."""
+    """Captures of pages written as WARC files, read again and resolved; the digest is that of the body joined."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     records = read(spark, folder, write(captures(pages), folder))
-    out = resolve(records)
+    out = with_bodies(resolve(records), records).withColumn("digest", F.md5(F.coalesce("body", F.lit(b""))))
     return out.select("record_id", "canonical", F.unix_seconds("date").alias("epoch"), "kind", "resolution", "original_id", "status", header_lines("headers").alias("headers"), "digest")
 
 

@@ -220,6 +220,16 @@ def test_revisits_pass_over_responses_that_are_not_full(spark, monkeypatch, rang
     assert got["p0"] == ("response", None, 206) and got["p4"] == ("response", None, None) and got["b"] == ("response", None, 404)
 
 
+def test_digests_are_of_joined_bodies(spark, monkeypatch):
+    pages = spark.createDataFrame([(1, "http://h/", "x"), (None, None, None), (None, None, None), (3, "", "y")], "page_id long, url string, html string")
+    md5 = lambda b: hashlib.md5(b).hexdigest()
+    got = sorted((r.record_id, r.digest) for r in warc.resolved_pages(pages).collect())
+    assert got == sorted([("r1", md5(b"x")), ("v1", md5(b"x")), ("r-", md5(b"")), ("v-", md5(b"")), ("r-", md5(b"")), ("v-", md5(b"")), ("r3", md5(b"y")), ("v3", md5(b""))])
+    inner = warc.with_bodies
+    monkeypatch.setattr(warc, "with_bodies", lambda *a: inner(*a).withColumn("body", F.lit(b"other")))
+    assert {r.digest for r in warc.resolved_pages(pages).collect()} == {md5(b"other")}
+
+
 def test_warc_files(spark):
     records = spark.createDataFrame([r for r in RECORDS if r[2]] + [("k", "response", "http://h/y", _day(1), 200, {"A": "b"}, bytes(range(256)) * 500)], warc.SCHEMA)
     folder = new_folder(spark, "test-warc")
