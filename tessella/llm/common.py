@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
 
 
+#: Hadoop's schemes that pyarrow knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,40 +31,67 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, where the cluster names it.
 
-    Only where that is unset, as in tests on one machine, a local folder takes its place.
+    Only on one machine, as in tests, may that be unset; a local folder then
+    takes its place.  On a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = _own_folder()
-        spark.conf.set("spark.checkpoint.dir", named) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-    return named
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tessella-{name}-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, safe from lost executors."""
+    """df as a Parquet table in the shared folder: computed once, safe from lost executors.
+
+    The table goes when the driver ends, or before that by :func:`forgotten`.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    passing(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    fs, where = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._written_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that was written in the shared folder."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    fs, where = _hadoop(spark, path)
+    fs.delete(where, True)
 
 
 def file_system(uri: str):
-    """(pyarrow file system, path in it) of a folder's URI or plain path."""
+    """(pyarrow file system, path in it) of a folder's URI or plain path; Hadoop's names of object stores are understood."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    scheme, colon, rest = uri.partition("://")
+    if not colon:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme.lower(), scheme)}://{rest}")
 
 
 def seeded(*what: object) -> int:

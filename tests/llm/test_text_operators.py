@@ -100,10 +100,54 @@ def test_token_files(spark, awkward, nothing):
 def test_shared_dictionary():
     rng = np.random.default_rng(1)
     samples = [np.concatenate([rng.integers(0, 300, 5) for _ in range(40)]).astype("<u2").tobytes() for _ in range(400)]
-    dictionary = tokenfile.train_dictionary(samples)
-    assert dictionary and tokenfile.train_dictionary(samples[:3]) == b""
-    pack, unpack = tokenfile._codecs(dictionary)
-    assert all(unpack.decompress(pack.compress(s)) == s for s in samples)
+    for own in (samples, samples[:3], [b"\x02\x00"], [], [samples[0]] * 500):  # few, none and uniform ones too
+        dictionary = tokenfile.train_dictionary(own)
+        pack, unpack = tokenfile._codecs(dictionary)
+        assert dictionary and all(unpack.decompress(pack.compress(s)) == s for s in samples)
+    import zstandard as zstd
+
+    plain, pack = zstd.ZstdCompressor(level=tokenfile.LEVEL), tokenfile._codecs(tokenfile.train_dictionary(samples))[0]
+    assert sum(len(pack.compress(s)) for s in samples) < sum(len(plain.compress(s)) for s in samples)
+    long = bytes(range(256)) * 4000
+    assert len(tokenfile._pieces(long)) == tokenfile.SAMPLE_BYTES and tokenfile._pieces(long)[-4:] == long[-4:]
+
+
+def test_dictionary_end_to_end(spark, awkward):
+    """The files' frames are made with a trained dictionary, which the long text takes part in."""
+    import zstandard as zstd
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    rng = random.Random(12)
+    docs = documents(spark, [(n, prose(rng, 200), "s") for n in range(200)]).unionByName(awkward)
+    folder = new_folder(spark, "test-ids")
+    manifest = tokenfile.write(docs, path, folder, files=2)
+    fs, root = tokenfile.file_system(folder)
+    with fs.open_input_stream(f"{root}/dictionary") as f:
+        dictionary = bytes(f.read())
+    assert len(dictionary) > 1024 and zstd.ZstdCompressionDict(dictionary).dict_id()
+    assert tokenfile.read_digests(spark, folder, manifest).count() == docs.count()
+    reader = tokenfile.Reader(folder, manifest.orderBy("part").first()["name"])
+    row = reader.index[0]
+    reader.file.seek(int(row["offset"]))
+    assert zstd.get_frame_parameters(reader.file.read(int(row["length"]))).dict_id == zstd.ZstdCompressionDict(dictionary).dict_id()
+    reader.close()
+
+
+def test_encoder_forgets_rare_pieces():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    mine, lib = tokenfile.Encoder(path, entries=50), Tokenizer.from_file(path)
+    rng = random.Random(13)
+    for _ in range(40):
+        texts = [prose(rng, 30) + "\nnew line. end" for _ in range(3)]
+        assert [x.tolist() for x in mine.encode_batch(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_file_count_follows_the_data(spark, awkward, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_BYTES", 20_000)
+    manifest = tokenfile.write(awkward, tokenizer_file("byte_bpe_50k.json"), new_folder(spark, "test-ids"))
+    assert manifest.agg(F.max("part")).first()[0] > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 # -- quality ------------------------------------------------------------------------------
