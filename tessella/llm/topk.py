@@ -8,11 +8,12 @@ partial product plus the most that the remaining mass allows (product of both
 remaining norms) reaches the query's k-th best score so far, and the surviving
 pairs are compacted.  What survives all dimensions has its exact score.
 
-Each block of queries meets all chunks, in ``groups`` tasks a block, so work is
-spread by blocks and groups and no side is broadcast or collected; a task holds
-one block and one chunk at a time, and returns its k best a query.  With more
-queries there are more blocks and fewer groups, so partial results stay in
-proportion to the queries.
+Each block of ``BLOCK`` queries meets all chunks, in ``groups`` tasks a block,
+so work is spread by blocks and groups and no side is broadcast or collected;
+candidates are sent once for every block.  A task holds one block (16 MB for 64
+dimensions) and one chunk, which ``QUERIES`` of them meet at a time, and returns
+its k best a query.  With more queries there are more blocks and fewer groups,
+so partial results stay in proportion to the queries.
 
 Components are floor(scale * x) with x as double; scores are exact integers.
 Products that could pass 2**53 are taken in exact (slower) whole numbers, and
@@ -39,11 +40,14 @@ from pyspark.sql import functions as F
 from tessella.llm.vectors import Best, matrix, rows_of, widened
 
 SCALE, K = 1024, 10
-#: Queries of a block (expected), candidates of a chunk, dimensions of a step.
-BLOCK, CHUNK, STEP = 512, 8192, 16
+#: Queries of a block (expected) that share a task, queries that meet a chunk at once, candidates of a chunk, dimensions of a step.
+BLOCK, QUERIES, CHUNK, STEP = 32_768, 512, 8192, 16
+#: Candidates that the first queries start with; of so many pairs one may live where pairs replace the matrix.
+START, SPARSE = 64, 8
 #: Tasks of all blocks together, for each core.
 TASKS_A_CORE = 2
 _EXACT = 2.0**53
+_PACKED = ("ids", "dims", "kind", "payload")
 
 
 def _packs(rows: DataFrame, scale: int) -> DataFrame:
@@ -68,44 +72,76 @@ def _packs(rows: DataFrame, scale: int) -> DataFrame:
     return rows.mapInArrow(run, "ids binary, dims int, kind string, payload binary")
 
 
-def meet(best: Best, block: np.ndarray, q_ids: np.ndarray, chunk: np.ndarray, c_ids: np.ndarray) -> None:
-    """Offer a chunk (dims x candidates) to a block of queries (queries x dims)."""
+def meet(best: Best, block: np.ndarray, q_ids: np.ndarray, chunk: np.ndarray, c_ids: np.ndarray) -> int:
+    """Offer a chunk (dims x candidates) to a block of queries (queries x dims).
+
+    Returns how many pairs were ruled out before all their dimensions were read.
+    """
     dims = max(block.shape[1], chunk.shape[0])
     block = widened(block, dims)
     if chunk.shape[0] < dims:
         chunk = np.pad(chunk, ((0, dims - chunk.shape[0]), (0, 0)))
     if not len(block) or not len(c_ids):
-        return
+        return 0
     if np.abs(block).max(initial=0) * np.abs(chunk).max(initial=0) * max(1, dims) >= _EXACT:
-        return _meet_wide(best, block, q_ids, chunk, c_ids)
+        _meet_wide(best, block, q_ids, chunk, c_ids)
+        return 0
     order = np.argsort(-(block**2).sum(axis=0), kind="stable")
     block, chunk = block[:, order], chunk[order]
-    q_left = np.sqrt(np.cumsum((block**2)[:, ::-1], axis=1)[:, ::-1])
-    c_left = np.sqrt(np.cumsum((chunk**2)[::-1], axis=0)[::-1])
-
-    def reach(d: int) -> tuple[np.ndarray, np.ndarray]:
-        return (q_left[:, d], c_left[d]) if d < dims else (np.zeros(len(block)), np.zeros(len(c_ids)))
-
-    step = min(STEP, dims)
-    partial = block[:, :step] @ chunk[:step]
-    q_rest, c_rest = reach(step)
+    q_left = np.column_stack((np.sqrt(np.cumsum((block**2)[:, ::-1], axis=1)[:, ::-1]), np.zeros(len(block))))
+    c_left = np.vstack((np.sqrt(np.cumsum((chunk**2)[::-1], axis=0)[::-1]), np.zeros(len(c_ids)))) * (1 + 1e-9)
+    # with few candidates seen most survive: as many new ones at a time as were seen, so about k a query do
+    start, pruned = 0, 0
+    while start < len(c_ids):
+        end = min(len(c_ids), start + max(START, best.seen))
+        pruned += _bounded(best, block, q_ids, chunk[:, start:end], c_ids[start:end], q_left, c_left[:, start:end])
+        best.seen += end - start
+        best.settle()
+        start = end
+    return pruned
+
+
+def _bounded(best: Best, block: np.ndarray, q_ids: np.ndarray, chunk: np.ndarray, c_ids: np.ndarray, q_left: np.ndarray, c_left: np.ndarray) -> int:
+    """Block by block of dimensions: first all pairs as a matrix, whose dead rows and columns are cut out; then, once most are dead, the pairs left."""
+    dims = block.shape[1]
     floor = best.floor.astype(np.float64)
-    bound = partial + (q_rest[:, None] * c_rest[None, :]) * (1 + 1e-9)
-    qi, ci = np.nonzero((bound >= floor[:, None]) & (q_ids[:, None] != c_ids[None, :]))
-    score = partial[qi, ci]
-    d = step
+    rows, cols = np.arange(len(block)), np.arange(len(c_ids))
+    partial = np.where(q_ids[:, None] == c_ids[None, :], -np.inf, 0.0)
+    pruned, d = 0, 0
+    while d < dims or d == 0:
+        end = min(d + STEP, dims)
+        partial += block[rows, d:end] @ chunk[d:end, cols]
+        d = end
+        bound = q_left[rows, d][:, None] * c_left[d, cols][None, :]
+        bound += partial
+        alive = bound >= floor[rows][:, None]
+        if d == dims:
+            break
+        n = int(np.count_nonzero(alive))
+        if n * SPARSE <= alive.size:
+            r, c = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+            if n * SPARSE <= len(r) * len(c):
+                return pruned + _pairs(best, block, chunk, c_ids, q_left, c_left, floor, rows, cols, partial, alive, d) + alive.size - n
+            pruned += alive.size - len(r) * len(c)
+            rows, cols, partial = rows[r], cols[c], partial[np.ix_(r, c)]
+    r, c = np.nonzero(alive & (partial > -np.inf))
+    best.offer(rows[r], c_ids[cols[c]], partial[r, c].astype(np.int64))
+    return pruned
+
+
+def _pairs(best: Best, block, chunk, c_ids, q_left, c_left, floor, rows, cols, partial, alive, d: int) -> int:
+    """The rest of the dimensions for the surviving pairs only, compacted after every block."""
+    r, c = np.nonzero(alive)
+    qi, ci, score, pruned = rows[r], cols[c], partial[r, c], 0
+    dims = block.shape[1]
     while d < dims and len(qi):
         end = min(d + STEP, dims)
-        if len(qi) * 4 > partial.size:  # most pairs survive: cheaper for all at once
-            partial += block[:, d:end] @ chunk[d:end]
-            score = partial[qi, ci]
-        else:
-            score = np.concatenate([score[s : s + 65536] + np.einsum("id,di->i", block[qi[s : s + 65536], d:end], chunk[d:end, ci[s : s + 65536]]) for s in range(0, len(qi), 65536)])
-            partial = np.empty(0)
-        q_rest, c_rest = reach(end)
-        stay = score + q_rest[qi] * c_rest[ci] * (1 + 1e-9) >= floor[qi]
+        score = np.concatenate([score[s : s + 65536] + np.einsum("id,di->i", block[qi[s : s + 65536], d:end], chunk[d:end, ci[s : s + 65536]]) for s in range(0, len(qi), 65536)])
+        stay = score + q_left[qi, end] * c_left[end, ci] >= floor[qi]
+        pruned += int((~stay).sum()) if end < dims else 0
         qi, ci, score, d = qi[stay], ci[stay], score[stay], end
     best.offer(qi, c_ids[ci], score.astype(np.int64))
+    return pruned
 
 
 def _meet_wide(best: Best, block: np.ndarray, q_ids: np.ndarray, chunk: np.ndarray, c_ids: np.ndarray) -> None:
@@ -123,44 +159,43 @@ def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "em
     spark = df.sparkSession
     rows = rows_of(df, key, vector)
     asked = rows_of(df.where(queries), key, vector).groupBy("id").agg(F.min("v").alias("v"))
-    count = asked.count()
-    blocks = max(1, -(-count // BLOCK))
+    blocks = max(1, -(-asked.count() // BLOCK))
     groups = max(1, -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // blocks))
-    block_of = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    ask = asked.select(block_of.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(0).alias("role"), "id", "v", *[F.lit(None).cast(t).alias(n) for n, t in (("ids", "binary"), ("dims", "int"), ("kind", "string"), ("payload", "binary"))])
-    give = _packs(rows, scale).select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("role"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), "ids", "dims", "kind", "payload"
-    )
+    # queries are packed by their block, then sent to all its groups; candidates by theirs, to all blocks
+    ask = _packs(asked.repartitionById(blocks, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), scale).withColumn("block", F.spark_partition_id())
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ask = ask.select("block", each(groups).alias("grp"), F.lit(0).alias("role"), *_PACKED)
+    give = _packs(rows, scale).select(each(blocks).alias("block"), F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("role"), *_PACKED)
     # one partition for each block and group: a hash could put several in one and leave others empty
     met = ask.unionByName(give).repartitionById(blocks * groups, F.col("block") * groups + F.col("grp")).sortWithinPartitions("block", "grp", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, vectors, best, block = None, [], [], None, np.empty((0, 0))
+        at, packs, parts = None, [], []
 
-        def out() -> pa.RecordBatch:
-            q, c, s = best.result() if best is not None else (np.empty(0, np.int64),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for q_ids, _, best in parts:
+                q, c, s = best.result()
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            where = list(zip(batch.column("block").to_pylist(), batch.column("grp").to_pylist()))
-            role = batch.column("role").to_pylist()
-            for i in range(batch.num_rows):
-                if where[i] != at:
-                    if at is not None:
-                        yield out()
-                    at, ids, vectors, best = where[i], [], [], None
-                if role[i] == 0:
-                    ids.append(batch.column("id")[i].as_py())
-                    vectors.append(np.floor(scale * np.array(batch.column("v")[i].as_py(), np.float64)))
+            for row in batch.to_pylist():
+                if (row["block"], row["grp"]) != at:
+                    yield from out()
+                    at, packs, parts = (row["block"], row["grp"]), [], []
+                ids = np.frombuffer(row["ids"], np.int64)
+                own = np.frombuffer(row["payload"], np.dtype(row["kind"])).reshape(row["dims"], len(ids)).astype(np.float64)
+                if row["role"] == 0:
+                    packs.append((ids, own.T))
                     continue
-                if best is None:
-                    best = Best(len(ids), k, np.int64, np.iinfo(np.int64).min)
-                    block = np.array([np.pad(x, (0, max(map(len, vectors)) - len(x))) for x in vectors]) if vectors else np.empty((0, 0))
-                c_ids = np.frombuffer(batch.column("ids")[i].as_py(), np.int64)
-                chunk = np.frombuffer(batch.column("payload")[i].as_py(), np.dtype(batch.column("kind")[i].as_py())).reshape(batch.column("dims")[i].as_py(), len(c_ids))
-                meet(best, block, np.array(ids, np.int64), chunk.astype(np.float64), c_ids)
-        if at is not None:
-            yield out()
+                if packs:  # all queries of the block are here: so many at a time meet each chunk
+                    for q_ids, m in packs:
+                        for s in range(0, len(q_ids), QUERIES):
+                            part = q_ids[s : s + QUERIES]
+                            parts.append((part, m[s : s + QUERIES], Best(len(part), k, np.int64, np.iinfo(np.int64).min)))
+                    packs = []
+                for q_ids, m, best in parts:
+                    meet(best, m, q_ids, own, ids)
+        yield from out()
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

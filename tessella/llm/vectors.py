@@ -46,10 +46,16 @@ class Best:
     """
 
     def __init__(self, n: int, k: int, dtype: type = np.float64, lowest: float = -np.inf) -> None:
-        self.n, self.k, self.limit = n, k, max(200_000, 4 * n * k)
+        self.n, self.k, self.limit = n, k, max(20_000, 4 * n * k)
         self.floor = np.full(n, lowest, dtype)
         self._parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self._held = self._kept = 0
+        self.seen = 0  # candidates met so far, for callers
+
+    def settle(self) -> None:
+        """Bring ``floor`` up to date."""
+        if self._held > self._kept:
+            self._cut()
 
     def offer(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         if len(query):

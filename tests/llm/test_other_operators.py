@@ -96,10 +96,11 @@ def floats(rng, n, dims):
     return [(i, np.float32(rng.normal(size=dims)).astype(float).tolist()) for i in range(n)]
 
 
-@pytest.mark.parametrize("chunk, block", [(8192, 512), (16, 2)])
-def test_top_k(spark, monkeypatch, chunk, block):
+@pytest.mark.parametrize("chunk, block, queries", [(8192, 32768, 512), (16, 2, 1), (64, 5, 2)])
+def test_top_k(spark, monkeypatch, chunk, block, queries):
     monkeypatch.setattr(topk, "CHUNK", chunk)
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", queries)
     rng = np.random.default_rng(1)
     rows = floats(rng, 400, 40)
     rows += [(500 + i, rows[i % 7][1]) for i in range(40)] + ODD + [(600, []), (601, [0.5]), (602, [0.0] * 50), (603, [1.0] * 45)]
@@ -116,6 +117,32 @@ def test_top_k_of_few_and_of_large_numbers(spark):
     assert topk.top_k(vectors(spark, [(1, [1.0])]), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def shaped(kind, rng, n=1500, dims=64):
+    m = rng.normal(size=(n, dims))
+    if kind == "decaying":
+        m *= np.exp(-0.1 * np.arange(dims))
+    elif kind == "low rank":
+        m[:, 8:] *= 0.01
+    elif kind == "one hot":
+        m = np.eye(dims)[rng.integers(0, dims, n)] * rng.integers(1, 4, (n, 1))
+    elif kind == "clusters":
+        m = m * 0.2 + rng.normal(size=(20, dims))[rng.integers(0, 20, n)] * 2
+    return np.float32(m).astype(float)
+
+
+@pytest.mark.parametrize("kind", ["decaying", "low rank", "one hot", "clusters", "plain"])
+def test_top_k_where_bounds_prune(spark, kind):
+    """Compaction at every block of dimensions gives the same as brute force, and does rule pairs out."""
+    m = shaped(kind, np.random.default_rng(6))
+    rows = list(enumerate(m.tolist()))
+    got = collected(topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0))
+    assert sorted(got) == brute_top(rows, 10, 100, whole_product)
+    whole = np.floor(1024 * m)
+    best = topk.Best(15, 10, np.int64, np.iinfo(np.int64).min)
+    pruned = topk.meet(best, whole[::100], np.arange(0, 1500, 100), whole.T, np.arange(1500))
+    assert kind == "plain" or pruned > 15 * 1500 / 10
+
+
 def test_forest_recall_and_copies(spark):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(30, 24)) * 2
