@@ -4,26 +4,31 @@ Nearness is the largest inner product.  Vectors are put on a sphere by one more
 component, sqrt(M**2 - |x|**2) with M the largest norm, and queries by a zero:
 then nearness is closeness, whatever the norms are.
 
-* Trees are fitted on a bounded sample (``SAMPLE`` vectors by hash, ``MODEL_BYTES``
-  for all hyperplanes): every node splits its sample at the median along a
-  random direction.  Every vector is then put in one leaf of each tree.
-* A query searches all trees through one priority queue: the node with the
-  smallest sum of squared distances to the hyperplanes that it is on the wrong
-  side of comes first; leaves are taken in that order.
+* Trees are fitted on a bounded sample (``SAMPLE`` vectors by hash, at most
+  ``SAMPLE_BYTES``; ``MODEL_BYTES`` for all hyperplanes): every node splits its
+  sample at the median along a random direction.  The trees share their top
+  levels, which divide the space into cells of about ``CELL`` vectors (one cell,
+  so nothing shared, for a small table).  Every vector is put in one leaf of
+  each tree, and all these leaves lie in its cell.
+* A query searches all trees through one priority queue, ordered by the sum of
+  squared distances to the hyperplanes that a node is on the wrong side of.  The
+  queue is emptied level by level for many queries at once: of all trees' open
+  nodes the ``most`` cheapest stay.  No node costs less than its parent and each
+  has a leaf that costs the same, so these hold the first ``most`` leaves that a
+  heap would give; hyperplanes off their paths aren't computed.
 * How many leaves a query takes is calibrated, not guessed: for up to
-  ``CALIBRATION`` queries the true neighbours are found by brute force over all
-  rows, and the smallest number of leaves that finds ``TARGET`` of them is
-  taken for all.  On vectors without structure, as independent random ones in
-  many dimensions, this comes to most of the forest: no tree can leave out more
-  there without losing recall.
+  ``CALIBRATION`` queries the true neighbours in the sample are found, and the
+  smallest number of leaves that finds ``TARGET`` of them is taken for all.  Of
+  a table larger than the sample, that of the true neighbours is taken which the
+  sample is expected to hold.
 * Candidates of the leaves are ranked by their exact inner products of the
-  original vectors.  Leaves that follow each other in a tree form groups; a
-  group and the queries that visit it meet in one task, which returns its best.
+  original vectors.  A vector is sent once, to its cell; a query once to each
+  cell that it visits, with its leaves there.  Where there are fewer cells than
+  tasks, the vectors of a cell are salted over several.
 
-Vectors that are equal form one class, which keeps its k + 1 smallest ids (of
-equal scores only those can be among the k nearest): a vector that a third of
-all rows share is one candidate.  The forest is broadcast, bounded by
-``MODEL_BYTES``; so are the calibration queries.
+Vectors that are equal form one class, whose smallest id is the candidate; of
+its ids the k + 1 smallest come back (of equal scores only those can be among
+the k nearest).  The forest is broadcast, bounded by ``MODEL_BYTES``.
 
 Defined results for odd input: a null id, a null, empty or zero vector, or one
 with a null or non-finite component takes no part; rows that repeat count once;
@@ -34,7 +39,6 @@ left alone; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,41 +48,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm.common import seeded, written
-from tessella.llm.vectors import Best, matrix, rows_of, widened
+from tessella.llm.vectors import matrix, rows_of, widened
 
 K = 20
-TREES, LEAF = 4, 64
-SAMPLE, MODEL_BYTES = 50_000, 16_000_000
-CALIBRATION, TARGET = 200, 0.96
-#: Sample vectors that a leaf holds at least.
+TREES, LEAF = 16, 32
+SAMPLE, SAMPLE_BYTES, MODEL_BYTES = 50_000, 64_000_000, 64_000_000
+CALIBRATION, TARGET = 200, 0.95
+#: Sample vectors that a leaf holds at least, in the fit.
 FILL = 8
+#: Vectors of a cell, about; queries that a task takes at once.
+CELL, QUERIES = 200_000, 256
 
 
 class Forest:
-    """Trees in heap order: node i has the children 2i and 2i+1; leaves are numbered from 0."""
+    """Trees in heap order: node i has the children 2i and 2i+1; leaves are numbered from 0.
 
-    def __init__(self, dims: int, top: float, leaves: int, normals: np.ndarray, cuts: np.ndarray) -> None:
-        self.dims, self.top, self.leaves, self.normals, self.cuts = dims, top, leaves, normals, cuts
+    The first ``cells`` - 1 nodes are the same in all trees.
+    """
+
+    def __init__(self, dims: int, top: float, leaves: int, cells: int, normals: np.ndarray, cuts: np.ndarray) -> None:
+        self.dims, self.top, self.leaves, self.cells, self.normals, self.cuts = dims, top, leaves, cells, normals, cuts
 
     @classmethod
     def fit(cls, sample: np.ndarray, top: float, rows: int) -> Forest:
         dims = sample.shape[1]
         most = min(max(1, rows // LEAF), max(1, len(sample) // FILL), max(1, MODEL_BYTES // (4 * TREES * (dims + 2))))
         leaves = 1 << (most.bit_length() - 1)
+        cells = min(leaves, 1 << max(0, (rows // CELL).bit_length()) if rows >= CELL else 1)
         rng = np.random.default_rng(seeded("forest", dims, leaves))
         normals = rng.standard_normal((TREES, leaves, dims + 1)).astype(np.float32)
         normals /= np.linalg.norm(normals, axis=2, keepdims=True)
-        cuts = np.zeros((TREES, leaves), np.float32)
-        self = cls(dims, top, leaves, normals, cuts)
-        raised = self.raised(sample)
+        normals[:, :cells] = normals[:1, :cells]
+        self = cls(dims, top, leaves, cells, normals, np.zeros((TREES, leaves), np.float32))
+        raised = self.raised(sample[: 2 * FILL * leaves])
         for t in range(TREES):
-            node = np.ones(len(sample), np.int64)
+            node = np.ones(len(raised), np.int64)
             level = 1
             while level < leaves:
                 along = self._along(raised, t, node)
-                for n in np.unique(node):
-                    cuts[t, n] = np.median(along[node == n])
-                node = 2 * node + (along >= cuts[t, node])
+                order = np.lexsort((along, node))
+                edge = np.searchsorted(node[order], np.arange(level, 2 * level + 1))
+                some = np.flatnonzero(np.diff(edge))
+                self.cuts[t, level + some] = along[order[(edge[some] + edge[some + 1]) // 2]]
+                node = 2 * node + (along >= self.cuts[t, node])
                 level *= 2
         return self
 
@@ -88,11 +100,15 @@ class Forest:
         return np.column_stack((m, last)).astype(np.float32)
 
     def _along(self, raised: np.ndarray, t: int, node: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.empty(0, np.float32), *(np.einsum("ij,ij->i", raised[s : s + 8192], self.normals[t, node[s : s + 8192]]) for s in range(0, len(raised), 8192))])
+        """Each row's place along the normal of its node; all rows' nodes are of one level."""
+        level = 1 << (int(node[0]).bit_length() - 1) if len(node) else 1
+        if level <= 32:
+            return (raised @ self.normals[t, level : 2 * level].T)[np.arange(len(node)), node - level]
+        return np.concatenate([np.einsum("ij,ij->i", raised[s : s + 8192], self.normals[t, node[s : s + 8192]]) for s in range(0, len(raised), 8192)])
 
     def leaf(self, m: np.ndarray) -> np.ndarray:
         """(rows, TREES): the leaf of each vector in each tree."""
-        raised, out = self.raised(m), np.empty((len(m), TREES), np.int64)
+        raised, out = self.raised(m), np.empty((len(m), TREES), np.int32)
         for t in range(TREES):
             node = np.ones(len(m), np.int64)
             while len(node) and node[0] < self.leaves:
@@ -100,26 +116,37 @@ class Forest:
             out[:, t] = node - self.leaves
         return out
 
-    def search(self, m: np.ndarray, most: int) -> Iterator[list[int]]:
-        """For each query the first leaves (tree * leaves + leaf) by the shared priority queue."""
-        leaves = self.leaves
+    def cell(self, leaf: np.ndarray) -> np.ndarray:
+        """The cell of a leaf, of whichever tree."""
+        return leaf // (self.leaves // self.cells)
+
+    def search(self, m: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """For each query the first leaves (tree * leaves + leaf), cheapest first, by the shared priority queue."""
+        flat, cuts, width = self.normals.reshape(-1, self.dims + 1), self.cuts.ravel(), self.leaves
+        step = max(1, min(256, 8_000_000 // (max(1, min(most, TREES * width)) * (self.dims + 1))))
         raised = self.raised(m, query=True)
-        for s in range(0, len(m), 256):
-            margin = np.einsum("qd,tnd->qtn", raised[s : s + 256], self.normals, optimize=True) - self.cuts[None]
-            for own in margin:
-                side = (own >= 0).astype(np.int64).tolist()
-                away = (own.astype(np.float64) ** 2).tolist()
-                heap, out = [(0.0, t, 1) for t in range(TREES)], []
-                pop, push = heapq.heappop, heapq.heappush
-                while heap and len(out) < most:
-                    far, t, node = pop(heap)
-                    near, gap = side[t], away[t]
-                    while node < leaves:  # down the near side; the far sides wait in the queue
-                        right = near[node]
-                        push(heap, (far + gap[node], t, 2 * node + 1 - right))
-                        node = 2 * node + right
-                    out.append(t * leaves + node - leaves)
-                yield out
+        for s in range(0, len(m), step):
+            q = raised[s : s + step]
+            tree = np.repeat(np.arange(TREES, dtype=np.int64)[None] * width, len(q), axis=0)
+            node, cost, level = np.ones_like(tree), np.zeros(tree.shape), 1
+            while level < width:
+                at = tree + node
+                if 2 * node.shape[1] >= TREES * level:  # most of the level is open
+                    of = (np.arange(TREES)[:, None] * width + np.arange(level, 2 * level)).ravel()
+                    along = np.take_along_axis(q @ flat[of].T, tree // width * level + node - level, axis=1)
+                else:
+                    along = np.matmul(flat[at], q[:, :, None])[:, :, 0]
+                gap = along.astype(np.float64) - cuts[at]
+                right = gap >= 0
+                tree = np.concatenate((tree, tree), axis=1)
+                node = np.concatenate((2 * node + right, 2 * node + ~right), axis=1)
+                cost = np.concatenate((cost, cost + gap**2), axis=1)
+                level *= 2
+                if cost.shape[1] > most:
+                    keep = np.argpartition(cost, most - 1, axis=1)[:, :most]
+                    tree, node, cost = (np.take_along_axis(x, keep, axis=1) for x in (tree, node, cost))
+            order = np.argsort(cost, axis=1, kind="stable")[:, :most]
+            yield from np.take_along_axis(tree + node - width, order, axis=1)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,55 +160,69 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _classes(rows: DataFrame, k: int) -> DataFrame:
-    """(cid, ids, v): each different vector with its k + 1 smallest ids, cid the smallest."""
-    order = W.partitionBy("v").orderBy("id")
-    ranked = rows.withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k + 1)
-    return ranked.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.element_at("ids", 1).alias("cid"), "ids", "v")
-
-
-def _brute(classes: DataFrame, ids: np.ndarray, m: np.ndarray, k: int) -> DataFrame:
-    """(q, cid, v) of the k nearest classes of a bounded number of queries; q: their place."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, kept = Best(len(m), k), {}
-        for batch in batches:
-            x, cid = matrix(batch.column("v"))[0], batch.column("cid").to_numpy()
-            dims = max(m.shape[1], x.shape[1])
-            s = widened(m, dims) @ widened(x, dims).T
-            qi, ci = np.nonzero((s >= best.floor[:, None]) & (ids[:, None] != cid[None, :]))
-            best.offer(qi, cid[ci], s[qi, ci])
-            for c in np.unique(ci):
-                kept[int(cid[c])] = x[c].tolist()
-            if len(kept) > 20 * k * len(m):
-                live = set(best.result()[1].tolist())
-                kept = {c: v for c, v in kept.items() if c in live}
-        q, c, s = best.result()
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64()), pa.array([kept[int(i)] for i in c], pa.list_(pa.float64()))], names=["q", "cid", "s", "v"])
-
-    found = classes.select("cid", "v").mapInArrow(run, "q long, cid long, s double, v array<double>")
-    order = W.partitionBy("q").orderBy(F.desc("s"), "cid")
-    return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "cid", "v")
-
-
-def _calibrated(forest: Forest, classes: DataFrame, asked: DataFrame, k: int) -> int:
-    """How many leaves find TARGET of the true neighbours of the calibration queries."""
+def calibrated(forest: Forest, sample: np.ndarray, asked: np.ndarray, k: int, share: float) -> int:
+    """How many leaves find TARGET of the true neighbours that the sample (this share of all rows) holds."""
     total = TREES * forest.leaves
-    some = asked.orderBy(F.xxhash64(F.lit("calibrate"), "cid")).limit(CALIBRATION).collect()  # bounded
-    if not some or forest.leaves == 1:
-        return total
-    dims = max(len(r["v"]) for r in some)
-    m = np.array([np.pad(r["v"], (0, dims - len(r["v"]))) for r in some])
-    true = _brute(classes, np.array([r["cid"] for r in some], np.int64), m, k).collect()  # CALIBRATION * k rows
-    if not true:
+    if forest.leaves == 1 or not len(asked) or len(sample) < 2:
         return total
-    wide = max(len(r["v"]) for r in true)
-    at = forest.leaf(np.array([np.pad(r["v"], (0, wide - len(r["v"]))) for r in true])) + np.arange(TREES) * forest.leaves
-    rank = np.empty((len(some), total), np.int64)
-    for i, order in enumerate(forest.search(m, total)):
-        rank[i, order] = np.arange(total)
-    first = rank[np.array([r["q"] for r in true])[:, None], at].min(axis=1)
-    return int(np.sort(first)[min(len(first) - 1, int(np.ceil(TARGET * len(first))) - 1)]) + 1
+    dims = max(asked.shape[1], sample.shape[1])
+    asked, sample = widened(asked, dims), widened(sample, dims)
+    s = asked @ sample.T
+    s[(asked[:, None, :1] == sample[None, :, :1]).all(axis=2) & (s >= (asked**2).sum(axis=1)[:, None] * (1 - 1e-9))] = -np.inf  # the query itself
+    near = min(max(1, round(k * share)), len(sample) - 1)
+    true = np.argpartition(-s, near - 1, axis=1)[:, :near]
+    at = forest.leaf(sample[true.ravel()]).reshape(*true.shape, TREES) + np.arange(TREES) * forest.leaves
+    rank, first = np.empty(total, np.int64), np.empty(true.shape, np.int64)
+    for i, order in enumerate(forest.search(asked, total)):
+        rank[order] = np.arange(total)
+        first[i] = rank[at[i]].min(axis=1)
+    first = np.sort(first.ravel())
+    return int(first[min(len(first) - 1, int(np.ceil(TARGET * len(first))) - 1)]) + 1
+
+
+class Block:
+    """The vectors of a task, listed by the leaves they are in."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaves: np.ndarray) -> None:
+        self.ids, self.vectors = ids, vectors
+        flat = leaves.ravel()
+        order = np.argsort(flat, kind="stable")
+        self.rows, self.keys = order // max(1, leaves.shape[1]), flat[order]
+        self.compared = 0  # vectors that queries met, for reports
+
+    def candidates(self, leaves: np.ndarray) -> np.ndarray:
+        """The rows in any of these leaves, once each."""
+        start, end = np.searchsorted(self.keys, leaves, "left"), np.searchsorted(self.keys, leaves, "right")
+        count = end - start
+        place = np.cumsum(count) - count
+        return np.unique(self.rows[np.repeat(start - place, count) + np.arange(int(count.sum()))])
+
+    def best(self, q_ids: np.ndarray, queries: np.ndarray, leaves: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, row, score) of the k best candidates of each query."""
+        dims = max(queries.shape[1], self.vectors.shape[1])
+        queries, vectors = widened(queries, dims), widened(self.vectors, dims)
+        who, rows = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i, own in enumerate(leaves):
+            found = self.candidates(own)
+            found = found[self.ids[found] != q_ids[i]]
+            self.compared += len(found)
+            if len(found) > k:
+                s = vectors[found] @ queries[i]
+                least = np.partition(s, len(s) - k)[len(s) - k]
+                found = found[s >= least - 1e-9 * max(1.0, abs(least))]  # rounding may differ from that of the score
+            who.append(np.full(len(found), i))
+            rows.append(found)
+        who, rows = np.concatenate(who), np.concatenate(rows)
+        score = _products(queries[who], vectors[rows])
+        order = np.lexsort((self.ids[rows], -score, who))
+        who, rows, score = who[order], rows[order], score[order]
+        keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+        return who[keep], rows[keep], score[keep]
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(cid, copies, v): each different vector with its smallest id and its number of ids."""
+    return rows.groupBy("v").agg(F.min("id").alias("cid"), F.count("*").alias("copies")).select("cid", "copies", "v")
 
 
 def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = K) -> DataFrame:
@@ -189,132 +230,115 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
     spark = df.sparkSession
     not_zero = F.exists("v", lambda x: x != 0)
     rows = rows_of(df, key, vector).where(not_zero)
-    classes = written(_classes(rows, k), "classes")
+    classes = written(_classes(rows), "classes")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    stats = classes.agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.max(F.size("v")).alias("dims")).first()
-    asked = written(rows_of(df.where(queries), key, vector).where(not_zero).distinct().join(classes.select("cid", "v"), "v").select("id", "cid", "v"), "asked")
+    stats = classes.agg(F.count("*").alias("n"), F.max(norm).alias("top"), F.max(F.size("v")).alias("dims"), F.max("copies").alias("copies")).first()
     if not stats["n"]:
         return classes.select(F.col("cid").alias("query_id"), F.lit(1).alias("rank"), F.col("cid").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    share = min(1.0, SAMPLE / stats["n"])
-    sample = classes.where(F.pmod(F.xxhash64(F.lit("sample"), "cid"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v")
-    got = sample.toArrow().column(0).combine_chunks()
-    forest = Forest.fit(widened(matrix(got)[0], stats["dims"]), stats["top"], stats["n"])
-    each = asked.groupBy("cid").agg(F.first("v").alias("v"))
-    most = _calibrated(forest, classes, each, k)
+    several = stats["copies"] > 1
+    asked = rows_of(df.where(queries), key, vector).where(not_zero)
+    if several:
+        asked = written(asked.distinct().join(classes.select("cid", "v"), "v").select("id", "cid", "v"), "asked")
+        each = asked.groupBy("cid").agg(F.first("v").alias("v"))
+    else:
+        asked = asked.select("id", F.col("id").alias("cid"), "v")
+        each = asked.select("cid", "v")
+    take = min(SAMPLE, max(1000, SAMPLE_BYTES // (8 * stats["dims"])))
+    share = min(1.0, take / stats["n"])
+    hashed = F.pmod(F.xxhash64(F.lit("sample"), "cid"), F.lit(1 << 30))
+    sample = classes.where(hashed < int(share * (1 << 30)) + 1).select("v").limit(2 * take)
+    sample = widened(matrix(sample.toArrow().column(0).combine_chunks())[0], stats["dims"])
+    forest = Forest.fit(sample, stats["top"], stats["n"])
+    some = each.orderBy(F.xxhash64(F.lit("calibrate"), "cid")).limit(CALIBRATION).select("v").toArrow().column(0).combine_chunks()
+    most = calibrated(forest, sample, matrix(some)[0], k, share) if len(some) else 1
     shared = spark.sparkContext.broadcast(forest)
 
-    # leaves that follow each other share a task; a query goes there once, with the leaves it visits
-    tasks = max(1, 4 * spark.sparkContext.defaultParallelism)
-    size = max(1, -(-TREES * forest.leaves // max(tasks, -(-stats["n"] * TREES // 200_000))))
-    groups = -(-TREES * forest.leaves // size)
+    salts = max(1, -(-2 * spark.sparkContext.defaultParallelism // forest.cells))
+    offsets = np.arange(TREES) * forest.leaves
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors with their leaves in all trees, in their cell's task."""
         forest = shared.value
         for batch in batches:
-            v = batch.column("v")
-            leaf = forest.leaf(matrix(v)[0]) + np.arange(TREES) * forest.leaves
-            for t in range(TREES):
-                lists = pa.array(leaf[:, t : t + 1].astype(np.int32).tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array((leaf[:, t] // size).astype(np.int32)), pa.array(np.ones(len(leaf), np.int32)), batch.column("cid"), v, lists], names=names)
+            m, cid = matrix(batch.column("v"))[0], batch.column("cid").to_numpy()
+            leaf = forest.leaf(m)
+            salt = (cid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(salts)
+            task = forest.cell(leaf[:, 0]) * salts + salt.astype(np.int64)
+            yield _packed(task, 0, cid, batch.column("v"), leaf + offsets)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries with the leaves they visit, for each task of the cells of these."""
         forest = shared.value
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                row, grp, lists = [], [], []
+            for s in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(s, QUERIES)
+                row, task, lists = [], [], []
                 for i, leaves in enumerate(forest.search(matrix(part.column("v"))[0], most)):
-                    seen = np.sort(np.array(leaves, np.int32))
-                    g = seen // size
-                    for own in np.split(seen, np.flatnonzero(np.diff(g)) + 1):
-                        row.append(i)
-                        grp.append(int(own[0]) // size)
-                        lists.append(own)
+                    cell = forest.cell(leaves % forest.leaves)
+                    order = np.argsort(cell, kind="stable")
+                    for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
+                        at = int(cell[own[0]])
+                        row += [i] * salts
+                        task += range(at * salts, (at + 1) * salts)
+                        lists += [leaves[own]] * salts
                 take = part.take(pa.array(row, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(np.zeros(len(row), np.int32)), take.column("cid"), take.column("v"), pa.array(lists, pa.list_(pa.int32()))], names=names)
+                yield _packed(np.array(task, np.int64), 1, take.column("cid").to_numpy(), take.column("v"), lists)
 
-    names = ["grp", "role", "cid", "v", "leaves"]
-    kind = "grp int, role int, cid long, v array<double>, leaves array<int>"
+    kind = "task int, role int, cid long, v array<double>, leaves array<int>"
     met = each.mapInArrow(visit, kind).unionByName(classes.select("cid", "v").mapInArrow(place, kind))
-    met = met.repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "role", "leaves")
+    met = met.repartitionById(forest.cells * salts, F.col("task")).sortWithinPartitions("role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries first, then vectors by leaf: each leaf's vectors meet the queries that visit it."""
-        ids, m, best, by_leaf = [], [], None, {}
-        keep: dict[int, np.ndarray] = {}
-
-        def leaf_done(leaf: int, cid: np.ndarray, x: np.ndarray) -> None:
-            who = by_leaf.get(leaf)
-            if who is None or not len(cid):
-                return
-            dims = max(m.shape[1], x.shape[1])
-            q = widened(m[who], dims)
-            x = widened(x, dims)
-            s = q @ x.T
-            floor = best.floor[who][:, None]
-            qi, ci = np.nonzero((s >= floor - 1e-12 * np.abs(floor)) & (ids[who][:, None] != cid[None, :])) if len(who) else ((), ())
-            if len(qi):
-                best.offer(who[qi], cid[ci], _products(q[qi], x[ci]))
-
-        pend_leaf, pend_c, pend_x = None, [], []
-        asked_ids, asked_v, asked_leaves = [], [], []
+        """Vectors first; then queries, so many at a time."""
+        held, block = [], None
         for batch in batches:
             role = batch.column("role").to_numpy()
-            if (role == 0).any():
-                part = batch.filter(pa.array(role == 0))
-                asked_ids.append(part.column("cid").to_numpy())
-                asked_v.append(matrix(part.column("v"))[0])
-                asked_leaves += part.column("leaves").to_pylist()
-            if not (role == 1).any():
-                continue
-            if best is None:
-                dims = max((x.shape[1] for x in asked_v), default=0)
-                ids = np.concatenate([np.empty(0, np.int64), *asked_ids])
-                m = np.concatenate([np.empty((0, dims)), *(widened(x, dims) for x in asked_v)])
-                best = Best(len(ids), k)
-                flat = np.concatenate([np.empty(0, np.int64), *map(np.array, asked_leaves)]).astype(np.int64)
-                who = np.repeat(np.arange(len(ids)), list(map(len, asked_leaves)))
-                order = np.argsort(flat, kind="stable")
-                edge = np.flatnonzero(np.diff(flat[order])) + 1
-                by_leaf = {int(flat[o[0]]): who[o] for o in np.split(order, edge)} if len(flat) else {}
-            part = batch.filter(pa.array(role == 1))
-            leaf = part.column("leaves").values.to_numpy()[part.column("leaves").offsets.to_numpy()[:-1]]
-            cid, x = part.column("cid").to_numpy(), matrix(part.column("v"))[0]
-            edges = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
-            for a, b in zip(edges, edges[1:]):
-                if pend_leaf is not None and pend_leaf != leaf[a]:
-                    _together(leaf_done, pend_leaf, pend_c, pend_x)
-                    pend_c, pend_x = [], []
-                pend_leaf = int(leaf[a])
-                pend_c.append(cid[a:b])
-                pend_x.append(x[a:b])
-                if sum(map(len, pend_c)) > 4096:
-                    _together(leaf_done, pend_leaf, pend_c, pend_x)
-                    pend_c, pend_x = [], []
-        if pend_c:
-            _together(leaf_done, pend_leaf, pend_c, pend_x)
-        if best is not None:
-            q, c, s = best.result()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["q", "cid", "score"])
-
-    found = met.mapInArrow(run, "q long, cid long, score double").groupBy("q", "cid").agg(F.max("score").alias("score"))
-    # back from classes to rows: copies of a candidate, and of the query itself
+            cut = int(np.searchsorted(role, 1))
+            if cut:
+                held.append(batch.slice(0, cut))
+            for s in range(cut, batch.num_rows, QUERIES):
+                if block is None:
+                    if not held:
+                        return
+                    v = matrix(pa.chunked_array([b.column("v") for b in held]).combine_chunks())[0]
+                    block = Block(np.concatenate([b.column("cid").to_numpy() for b in held]), v, np.concatenate([matrix(b.column("leaves"))[0] for b in held]).astype(np.int64))
+                    held = []
+                part = batch.slice(s, QUERIES)
+                ids, lists = part.column("cid").to_numpy(), part.column("leaves")
+                ends = lists.offsets.to_numpy()
+                own = np.split(lists.values.to_numpy()[ends[0] : ends[-1]], (ends[1:-1] - ends[0]))
+                q, c, score = block.best(ids, matrix(part.column("v"))[0], own, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(block.ids[c], pa.int64()), pa.array(score, pa.float64())], names=["q", "cid", "score"])
+
+    found = met.mapInArrow(run, "q long, cid long, score double")
     order = W.partitionBy("q").orderBy(F.desc("score"), "cid")
-    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "cid", "score")
-    found = found.join(classes.select("cid", "ids"), "cid").select("q", "ids", "score")
-    copies = classes.where(F.size("ids") > 1).select(F.col("cid").alias("q"), "ids", "v").mapInArrow(_own_scores, "q long, ids array<long>, score double")
-    pairs = asked.select("id", F.col("cid").alias("q")).join(found.unionByName(copies), "q").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if not several:
+        return found.select(F.col("q").alias("query_id"), "rank", F.col("cid").alias("vec_id"), "score")
+    # back from classes to rows: copies of a candidate, and of the query itself
+    first = W.partitionBy("cid").orderBy("id")
+    ids = rows.distinct().join(classes.where("copies > 1").select("cid", "v"), "v").withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    ids = ids.groupBy("cid").agg(F.collect_list("id").alias("ids"))  # k + 1 at most
+    found = found.select("q", "cid", "score").join(ids, "cid", "left").select("q", F.coalesce("ids", F.array("cid")).alias("ids"), "score")
+    own = classes.where("copies > 1").select(F.col("cid").alias("q"), "v").mapInArrow(_own_scores, "q long, score double")
+    own = own.join(ids.withColumnRenamed("cid", "q"), "q").select("q", "ids", "score")
+    pairs = asked.select("id", F.col("cid").alias("q")).join(found.unionByName(own), "q").select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     final = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _packed(task: np.ndarray, role: int, cid: np.ndarray, v: pa.Array, leaves) -> pa.RecordBatch:
+    lists = [*leaves]
+    ends = np.cumsum([0, *map(len, lists)])
+    flat = np.concatenate(lists).astype(np.int32) if lists else np.empty(0, np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(task.astype(np.int32)), pa.array(np.full(len(task), role, np.int32)), pa.array(cid, pa.int64()), v, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+        names=["task", "role", "cid", "v", "leaves"],
+    )
+
+
 def _own_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A class of copies with itself."""
     for batch in batches:
         m = matrix(batch.column("v"))[0]
-        yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("ids"), pa.array(_products(m, m), pa.float64())], names=["q", "ids", "score"])
-
-
-def _together(done, leaf: int, cids: list, xs: list) -> None:
-    dims = max(x.shape[1] for x in xs)
-    done(leaf, np.concatenate(cids), np.concatenate([widened(x, dims) for x in xs]))
+        yield pa.RecordBatch.from_arrays([batch.column("q"), pa.array(_products(m, m), pa.float64())], names=["q", "score"])

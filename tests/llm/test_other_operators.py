@@ -167,6 +167,58 @@ def test_forest_recall_and_copies(spark):
     assert hit / total >= 0.9
 
 
+def test_forest_search_is_that_of_one_heap():
+    import heapq
+
+    rng = np.random.default_rng(7)
+    m = rng.normal(size=(4000, 12))
+    for cell in (200_000, 500):
+        forest.CELL, old = cell, forest.CELL
+        try:
+            f = forest.Forest.fit(m, float(np.linalg.norm(m, axis=1).max()), len(m))
+        finally:
+            forest.CELL = old
+        assert f.cells == (1 if cell > 4000 else 16) and (f.cell(f.leaf(m)) == f.cell(f.leaf(m)[:, :1])).all()
+        for q, got in zip(m[:20], f.search(m[:20], 40)):
+            along = f.raised(q[None], query=True)[0].astype(np.float64)
+            heap, cost = [(0.0, t, 1) for t in range(forest.TREES)], {}
+            while len(cost) < 60:
+                far, t, node = heapq.heappop(heap)
+                if node >= f.leaves:
+                    cost[t * f.leaves + node - f.leaves] = far
+                    continue
+                gap = float(f.normals[t, node].astype(np.float64) @ along - f.cuts[t, node])
+                heapq.heappush(heap, (far + (gap**2 if gap < 0 else 0), t, 2 * node + 1))
+                heapq.heappush(heap, (far + (gap**2 if gap >= 0 else 0), t, 2 * node))
+            assert len(set(got.tolist())) == 40
+            assert np.allclose([cost.get(x, np.inf) for x in got.tolist()], sorted(cost.values())[:40], atol=1e-4)
+
+
+def test_forest_compares_few_on_clusters():
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(200, 32))[rng.integers(0, 200, 20_000)] * 2 + rng.normal(size=(20_000, 32)) * 0.3
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    f = forest.Forest.fit(m, float(np.linalg.norm(m, axis=1).max()), len(m))
+    asked = m[::200]
+    most = forest.calibrated(f, m, asked, 20, 1.0)
+    block = forest.Block(np.arange(len(m)), m, f.leaf(m).astype(np.int64) + np.arange(forest.TREES) * f.leaves)
+    q, c, _ = block.best(np.arange(0, 20_000, 200), asked, list(f.search(asked, most)), 20)
+    s = asked @ m.T
+    s[np.arange(100), np.arange(0, 20_000, 200)] = -np.inf
+    true = np.argsort(-s, axis=1)[:, :20]
+    hit = sum(len(set(c[q == i].tolist()) & set(true[i].tolist())) for i in range(100))
+    assert hit / 2000 >= 0.9 and block.compared < 0.1 * s.size
+
+
+def test_forest_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(forest, "CELL", 100)
+    rng = np.random.default_rng(9)
+    rows = floats(rng, 1000, 8)
+    got = collected(forest.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0))
+    true = {(q, c) for q, _, c, _ in brute_top(rows, 20, 20, near_product)}
+    assert len(got) == 1000 and len({(q, c) for q, _, c, _ in got} & true) >= 0.9 * len(true)
+
+
 def test_forest_of_few(spark):
     few = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (20, [-1.0, 0.5])]
     assert sorted(collected(forest.nearest(vectors(spark, few), F.col("vec_id") % 20 == 0))) == brute_top(few, 20, 20, near_product)
