@@ -193,10 +193,10 @@ def test_quality_model_is_the_textbook_one():
 # -- lines --------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, ratio, least):
+def brute_lines(rows, ratio):
     pages = Counter(s for _, _, s in rows)
     found = Counter((s, ln) for _, t, s in rows for ln in {x.strip(" ") for x in (t or "").split("\n")} if ln and t is not None)
-    bad = {k for k, n in found.items() if n >= least and n > pages[k[0]] * ratio}
+    bad = {k for k, n in found.items() if n - 1 > pages[k[0]] * ratio}
     out = []
     for i, t, s in rows:
         kept = [x for x in (t or "").split("\n") if (s, x.strip(" ")) not in bad]
@@ -204,13 +204,20 @@ def brute_lines(rows, ratio, least):
     return sorted(out, key=repr)
 
 
-def test_lines(spark, awkward, nothing):
+def test_lines(spark, awkward, nothing, monkeypatch):
     rng = random.Random(5)
     rows = [(n, "\n".join([rng.choice(["menu ", " menu", "menu"]), prose(rng, 5), rng.choice(["foot", "own"]), ""]), rng.choice(["a", "a", "a", "b", None])) for n in range(120)]
     rows += [(n, "menu", "b") for n in range(200, 300)] + [(1, "menu\nmenu\nx", "a")] * 3 + [(500, None, "a"), (501, "", "a"), (None, "menu\nleft", "a")]
-    for ratio, least in ((0.02, 5), (0.5, 2), (0.0, 1)):
-        got = lines.drop_boilerplate(documents(spark, rows), ratio=ratio, min_pages=least)
-        assert sorted(collected(got.select("doc_id", "text", "source", "lines_dropped")), key=repr) == brute_lines(rows, ratio, least)
+    rows += [(600, "only page\nof its host", "lone"), (601, "pair\nx", "two"), (602, "pair\ny", "two")]
+    docs = documents(spark, rows).withColumn("lines_dropped", F.lit("old"))
+    for ratio in (0.02, 0.5, 0.0):
+        for most in (1_000_000, 0):  # sets broadcast, and joined by shuffles
+            monkeypatch.setattr(lines, "SET_ROWS", most)
+            got = lines.drop_boilerplate(docs, ratio=ratio)
+            assert sorted(collected(got.select("doc_id", "text", "source", "lines_dropped")), key=repr) == brute_lines(rows, ratio)
+            assert got.count() == len(rows)
+    texts = {r.doc_id: r.text for r in lines.drop_boilerplate(docs).where("doc_id >= 600").collect()}
+    assert texts == {600: "only page\nof its host", 601: "x", 602: "y"}
     assert got.columns == [*documents(spark, []).columns, "lines_dropped"] and got.select("k", "h", "line").distinct().count() == 1
     assert lines.drop_boilerplate(awkward).count() == awkward.count()
     assert lines.drop_boilerplate(nothing).count() == 0
