@@ -14,15 +14,20 @@ probability of J or slightly more, so bands of registers serve as join keys.
    far below the threshold are dropped; the others are confirmed on the full
    sets, and the connected components found.
 4. In keys that still hold classes of different components, the pairs across
-   components are compared in blocks of registers, those above the likelihood
-   bound confirmed on the full sets, and the components found again.  Keys of
-   more than ``HOT`` classes first split by a second band that must agree too.
+   components are compared by their registers (each in the first band that it
+   shares), those above the likelihood bound confirmed on the full sets, and
+   the components found again.  A key of more than ``BLOCK`` classes meets in
+   blocks of that size, two in a task, with the same test; what such a task
+   returns are the likely pairs only.
 
 After 4 every candidate pair is either confirmed, refuted or inside one
 component, so no group is ever spelled out as pairs, however large it is.
 
 A pair at the threshold of 0.7 is missed with a probability of 1.5e-6 (32 bands
-of 3), in keys split by a second band of 3e-5; pairs above it more rarely.
+of 3), whatever the size of its keys; pairs above it more rarely.
+
+A text is found again by a hash of its doc_id and text (96 bits), so rows with a
+null or shared doc_id don't multiply; rows that repeat exactly are one.
 
 Defined results for odd input: a null text, or one without words, has an empty
 set and is linked with nothing; with fewer than 5 words the whole sequence is
@@ -39,9 +44,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from tessella.llm.common import parts, seeded, with_fields, written
+from tessella.llm.common import forgotten, parts, seeded, written
 
 WORDS, PERCENT = 5, 70
 BANDS, ROWS = 32, 3
@@ -50,12 +54,14 @@ M = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
 #: Pairs whose most likely similarity is below this are not confirmed: over 5 standard deviations below the threshold.
 LIKELY = 0.45
-#: Classes compared in one block; keys with more classes split by a second band first.
-HOT = 2048
+#: Classes of a block; a key of more meets block by block.
+BLOCK = 2048
+#: Pairs compared at once.
+PAIRS = 100_000
 #: Members of a pivot that one task confirms in a row; larger stars are salted.
 STAR = 1000
-#: A list of wanted documents is broadcast up to so many rows (about 20 MB), and joined by a shuffle beyond.
-BROADCAST_ROWS = 400_000
+#: A list of wanted documents is broadcast up to so many rows (about 5 MB), and joined by a shuffle beyond.
+BROADCAST_ROWS = 50_000
 
 _rng = np.random.default_rng(seeded("setsketch", 1))
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -169,34 +175,44 @@ def likely_similarity(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below
 # -- step 1 ------------------------------------------------------------------------------
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """docs with rid and rid2, by which a row's text is found again."""
+    text = F.col("text").cast("string")
+    return docs.withColumns({"rid": F.xxhash64(F.col("doc_id").cast("long"), text), "rid2": F.hash(text)})
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, registers) of every row; registers null for an empty set."""
+    """(doc_id, rid, rid2, n_shingles, c1, c2, registers) of every row; registers null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1, 1_000_000):
-                sets = shingle_sets(part.column(1).to_pylist())
+            for part in parts(batch, 3, 1_000_000):
+                sets = shingle_sets(part.column(3).to_pylist())
                 full = [s for s in sets if len(s)]
                 regs = (r.tobytes() for r in registers(full)) if full else iter(())
                 keys = [class_key(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        *part.columns[:3],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()),
                         pa.array([next(regs) if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "c1", "c2", "registers"],
+                    names=["doc_id", "rid", "rid2", "n_shingles", "c1", "c2", "registers"],
                 )
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, registers binary")
+    columns = _told(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "rid", "rid2", F.col("text").cast("string").alias("text"))
+    return columns.mapInArrow(run, "doc_id long, rid long, rid2 int, n_shingles long, c1 long, c2 long, registers binary")
 
 
 def classes_of(sketched: DataFrame) -> DataFrame:
-    """(node, c1, c2, first_id, n, registers): one row for each set that isn't empty.  Written, so that node stays."""
-    rows = sketched.where("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    """(node, c1, c2, first, n, registers): one row for each set that isn't empty.  Written, so that node stays.
+
+    first: the class's row with the smallest doc_id, as (none, doc_id, rid, rid2).
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "rid2"))
+    rows = sketched.where("n_shingles > 0").groupBy("c1", "c2").agg(first.alias("first"), F.max("n_shingles").alias("n"), F.first("registers").alias("registers"))
     return written(rows.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
@@ -246,61 +262,74 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return _sides(pairs, classes).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _open_keys(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, comp) of keys with classes of more than one component, and their number."""
-    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
-    return rows.join(several, "key")
-
-
 def cross_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a band and aren't ruled out by likelihood.
+    """(a, b) of different components that share a band and aren't ruled out by likelihood, each once.
 
     roots: (node, comp) of the classes in components of more than one.
     """
+    spark = classes.sparkSession
     comp = classes.join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("node", "comp", "n", "registers")
-    rows = comp.select("node", "comp", F.explode(_band_keys()).alias("key"))
-    open_ = written(_open_keys(rows), "open-keys")
-    small = open_.where(F.col("c") <= HOT).select("key", "node", "comp", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    # a hot key: classes must agree in a second band as well
-    hot = open_.where(F.col("c") > HOT).select("key", "node", "comp").join(classes.select("node", "registers"), "node")
-    second = hot.select("node", "comp", "key", F.explode(_band_keys()).alias("other")).where("key <> other").select("node", "comp", F.xxhash64("key", "other").alias("key"))
-    second = _open_keys(second).withColumn("blocks", F.ceil(F.col("c") / HOT).cast("int"))
+    rows = comp.select("node", "comp", F.posexplode(_band_keys()).alias("band", "key"))
+    several = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+    open_ = rows.join(several.select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "key")
+    # block i of a key against block j, i <= j; a key of one block is block 0 against itself
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # what is still hot meets block by block: block i against block j, i <= j
-    meets = second.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("key", "node", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    members = small.unionByName(meets).join(comp.select("node", "n", "registers"), "node")
-
-    def run(group: pa.Table) -> pa.Table:
-        node, root = group["node"].to_numpy(), group["comp"].to_numpy()
-        n = group["n"].to_numpy().astype(float)
-        regs = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(len(node), M)
-        a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in range(len(node) - 1):
-            rest = k + 1 + np.flatnonzero(root[k + 1 :] != root[k])
-            rest = rest[np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * PERCENT]
-            if not len(rest):
-                continue
-            same = (regs[rest] == regs[k]).sum(axis=1)
-            rest = rest[same >= LIKELY * 0.7 * M]
-            if len(rest):
-                above, below = (regs[rest] > regs[k]).sum(axis=1), (regs[rest] < regs[k]).sum(axis=1)
-                rest = rest[likely_similarity(n[rest], np.full(len(rest), n[k]), above, below) >= LIKELY]
-                a_all.append(np.minimum(node[rest], node[k]))
-                b_all.append(np.maximum(node[rest], node[k]))
-        return pa.table({"a": np.concatenate(a_all), "b": np.concatenate(b_all)})
+    meets = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meets = meets.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "node", "comp")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    members = meets.join(comp.select("node", "n", "registers"), "node").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
-    return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            rest.append(batch)
+            if sum(b.num_rows for b in rest) < 2 * BLOCK:
+                continue
+            table = pa.Table.from_batches(rest).combine_chunks()
+            where = [table[c].to_numpy() for c in ("key", "i", "j")]
+            last = np.flatnonzero(np.logical_or.reduce([w != w[-1] for w in where]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
+            if cut:
+                yield from _compared(table.slice(0, cut))
+            rest = table.slice(cut).to_batches()
+        if rest:
+            yield from _compared(pa.Table.from_batches(rest).combine_chunks())
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def _compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of whole groups (key, i, j), whose rows follow each other sorted by own."""
+    key, i, j, own, band, node, root, n = (table[c].to_numpy() for c in ("key", "i", "j", "own", "band", "node", "comp", "n"))
+    regs = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(node), M)
+    size = len(node)
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+    end = np.append(np.flatnonzero(new)[1:], size)[np.cumsum(new) - 1]
+    count = end - np.arange(size) - 1  # partners after a row
+    count[(i != j) & (own == j)] = 0  # two blocks: only those of the first meet those of the second
+    total = np.cumsum(count)
+    at = 0
+    while at < size:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+        left = np.repeat(np.arange(at, stop), count[at:stop])
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count[at:stop]) - count[at:stop], count[at:stop])
+        ok = (root[left] != root[right]) & ((i[left] == j[left]) | (own[left] != own[right])) & (np.minimum(n[left], n[right]) * 100 >= np.maximum(n[left], n[right]) * PERCENT)
+        left, right = left[ok], right[ok]
+        a, b = regs[left], regs[right]
+        same = a == b
+        ok = same.sum(axis=1) >= LIKELY * 0.7 * M
+        ok &= same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[left]  # elsewhere they met before
+        left, right, a, b = left[ok], right[ok], a[ok], b[ok]
+        if len(left):
+            likely = likely_similarity(n[left].astype(float), n[right].astype(float), (a > b).sum(axis=1), (a < b).sum(axis=1)) >= LIKELY
+            x, y = node[left[likely]], node[right[likely]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        at = stop
 
 
 # -- step 3: confirmation on the full sets ---------------------------------------------------
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the threshold.
 
@@ -310,22 +339,26 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR)).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("node"))
     pivots = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
-    wanted = members.unionByName(pivots).join(classes.select("node", "first_id", "c1", "c2"), "node")
+    wanted = members.unionByName(pivots).join(classes.select("node", F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2"), "c1", "c2"), "node")
     wanted = written(wanted, "wanted")
-    side = _checked(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = texts.join(side, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("a", "salt", "role", "node", "c1", "c2", "text")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = _told(docs.select("doc_id", "text")).select("rid", "rid2", F.col("text").cast("string").alias("text"))
+    if not few:  # rows that repeat are combined before the shuffle that the join then uses
+        texts = texts.dropDuplicates(["rid", "rid2"])
+    met = texts.join(F.broadcast(wanted) if few else wanted, ["rid", "rid2"]).select("a", "salt", "role", "node", "c1", "c2", "text")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows that repeat go out once a task."""
         seen: set[tuple] = set()
         for batch in batches:
             for part in parts(batch, 6):
-                keys = list(zip(*(part.column(k).to_pylist() for k in range(4)), map(hash, part.column(6).to_pylist())))
+                keys = list(zip(*(part.column(k).to_pylist() for k in range(4))))
                 fresh = [not (k in seen or seen.add(k)) for k in keys]
                 yield part.filter(pa.array(fresh, pa.bool_()))
 
-    met = met.mapInArrow(once, met.schema).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    if few:
+        met = met.mapInArrow(once, met.schema)
+    met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot_of, pivot = None, np.empty(0, np.uint64)
@@ -335,7 +368,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
                 rows = part.to_pydict()
                 for i, own in enumerate(shingle_sets(rows["text"])):
                     if class_key(own) != (rows["c1"][i], rows["c2"][i]):
-                        continue  # another text of the same doc_id
+                        continue  # another text with the same hashes
                     group = (rows["a"][i], rows["salt"][i])
                     if rows["role"][i] == 0:
                         pivot_of, pivot = group, own
@@ -352,7 +385,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 # -- components ------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of every node of the edges (a, b); comp: the smallest node reachable.
 
     Alternating large-star and small-star steps; every step's edges are written.
@@ -360,18 +393,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = written(e, "edges")
     state = _state(e)
-    for _ in range(rounds):
+    while True:  # some log(nodes) ** 2 rounds at most
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = written(small.where("u <> v").distinct(), "edges")
+        e, old = written(small.where("u <> v").distinct(), "edges"), e
+        forgotten(old)
         new = _state(e)
         if new == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         state = new
-    raise RuntimeError("components did not settle")
 
 
 def _state(e: DataFrame) -> tuple:
@@ -380,7 +413,7 @@ def _state(e: DataFrame) -> tuple:
 
 
 def _resolved(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, c1, c2, component_id, first) of every row; first: it is of its component's first class."""
+    """(doc_id, rid, rid2, n_shingles, component_id, stays) of every row; stays: it is (or repeats) the one row of its component that stays."""
     sketched = written(sketches(docs), "sketches")
     classes = classes_of(sketched)
     stars = written(likely_pairs(star_pairs(classes), classes), "pairs")
@@ -390,13 +423,13 @@ def _resolved(docs: DataFrame) -> DataFrame:
     more = written(confirmed(across, classes, docs), "links")
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
-    named = classes.select("node", "c1", "c2", "first_id").join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    first = named.groupBy("comp").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "c1", "c2")).alias("w"))
-    own = (F.col("c1") == F.col("w.c1")) & (F.col("c2") == F.col("w.c2"))
-    named = named.join(first, "comp").select("c1", "c2", F.col("w.first_id").alias("component_id"), own.alias("first"))
-    plain = sketched.select("doc_id", "n_shingles", "c1", "c2")
-    full = plain.where("n_shingles > 0").join(named, ["c1", "c2"])
-    empty = plain.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "first": F.lit(True)})
+    forgotten(stars, links, across, more)
+    named = classes.select("node", "c1", "c2", "first").join(roots, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = named.join(named.groupBy("comp").agg(F.min("first").alias("w")), "comp").select("c1", "c2", "w")
+    plain = sketched.select("doc_id", "rid", "rid2", "n_shingles", "c1", "c2")
+    stays = (F.col("rid") == F.col("w.rid")) & (F.col("rid2") == F.col("w.rid2"))
+    full = plain.where("n_shingles > 0").join(named, ["c1", "c2"]).withColumns({"component_id": F.col("w.doc_id"), "stays": stays}).drop("w")
+    empty = plain.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "stays": F.lit(True)})
     return full.unionByName(empty)
 
 
@@ -408,33 +441,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, whole, without near duplicates: of each component one row with the smallest doc_id.
 
-    Rows with an empty set are linked with nothing and stay.  Where a doc_id
-    has several rows, those rows are told by their sets.
+    Rows with an empty set are linked with nothing and stay.  Of rows that
+    repeat exactly one stays.
     """
     found = written(_resolved(docs), "resolved")
-    stays = F.col("first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = written(found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(stays).alias("__stays")), "ids")
-    single = (F.col("__n") == 1) & F.col("__id").isNotNull()
+    ids = found.groupBy(F.col("rid").alias("__rid"), F.col("rid2").alias("__rid2")).agg(F.min("stays").alias("__stays"), (F.max("n_shingles") > 0).alias("__full"), F.count("*").alias("__n"))
+    again = F.col("__stays") & F.col("__full") & (F.col("__n") > 1)
+    odd = written(ids.where(~F.col("__stays") | again).select("__rid", "__rid2", again.alias("__again")), "ids")
+    rows = _told(docs.select("doc_id", "text", *[F.col(c) for c in docs.columns if c not in ("doc_id", "text")]).withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in ("rid", "rid2")}))
+    names = [c if c not in ("rid", "rid2") else f"__own_{c}" for c in docs.columns]
+    on = (F.col("rid") == F.col("__rid")) & (F.col("rid2") == F.col("__rid2"))
     # what goes is less than what stays; up to a size it is broadcast, and no text is shuffled
-    out = docs.join(_checked(ids.where(~(single & F.col("__stays"))).select("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
-    several = ids.where(~single & F.col("__stays")).select("__id")
-    if several.isEmpty():
-        return out
-    rows = docs.join(several, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (x for batch in batches for x in parts(batch, at, 1_000_000)):
-            sets = shingle_sets(part.column(at).to_pylist())
-            keys = [class_key(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], names=[*part.schema.names, "__size", "__c1", "__c2"])
-
-    keyed = rows.mapInArrow(run, with_fields(rows, __size=LongType(), __c1=LongType(), __c2=LongType()))
-    own = ["__size", "__c1", "__c2"]
-    best = found.where(stays & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("__id"), F.col("c1").alias("__w1"), F.col("c2").alias("__w2")).distinct()
-    full = keyed.where("__size > 0").join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__c1") == F.col("__w1")) & (F.col("__c2") == F.col("__w2")), "left_semi")
-    full = full.dropDuplicates(["doc_id", "__c1", "__c2"]).drop(*own)
-    return out.unionByName(full).unionByName(keyed.where("__size = 0").drop(*own))
+    few = F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd
+    out = rows.join(few.select("__rid", "__rid2"), on, "left_anti")
+    once = rows.join(few.where("__again"), on, "left_semi").dropDuplicates(["rid", "rid2"])
+    return out.unionByName(once).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
 
 
 def sql() -> str:

@@ -271,16 +271,49 @@ def chains(rng, groups, length):
     return rows
 
 
-@pytest.mark.parametrize("hot, star", [(2048, 1000), (8, 3)])
-def test_near_duplicates(spark, awkward, nothing, monkeypatch, hot, star):
-    monkeypatch.setattr(setsketch, "HOT", hot)
+@pytest.mark.parametrize("block, star", [(2048, 1000), (4, 3)])
+def test_near_duplicates(spark, awkward, nothing, monkeypatch, block, star):
+    monkeypatch.setattr(setsketch, "BLOCK", block)
+    monkeypatch.setattr(setsketch, "PAIRS", 50 * block)
     monkeypatch.setattr(setsketch, "STAR", star)
-    monkeypatch.setattr(setsketch, "BROADCAST_ROWS", 0 if hot == 8 else 1000)
-    rows = chains(random.Random(hot), 12, 20) + [tuple(r) for r in awkward.select("doc_id", "text", "source").collect()]
+    monkeypatch.setattr(setsketch, "BROADCAST_ROWS", 0 if block == 4 else 1000)
+    rows = chains(random.Random(block), 12, 20) + [tuple(r) for r in awkward.select("doc_id", "text", "source").collect()]
     got = collected(setsketch.near_duplicates(documents(spark, rows)))
     assert sorted(got, key=repr) == brute_near(rows)
 
 
+def test_blocks_of_a_key_compare_every_pair_once(spark, monkeypatch):
+    """One key in blocks of 3 gives the pairs that it gives in one block."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**64, 60, np.uint64)
+    sets = [np.unique(np.concatenate((base, rng.integers(0, 2**64, 25, np.uint64)))) for _ in range(40)]
+    rows = [(n, n, len(s), r.tobytes()) for n, (s, r) in enumerate(zip(sets, setsketch.registers(sets)))]
+    classes = spark.createDataFrame(rows, "node long, c1 long, n long, registers binary")
+    roots = spark.createDataFrame([(n, n // 2 * 2) for n in range(40)], "node long, comp long")
+    out = []
+    for block in (2048, 3):
+        monkeypatch.setattr(setsketch, "BLOCK", block)
+        out.append(sorted(collected(setsketch.cross_pairs(classes, roots))))
+    assert out[0] == out[1] and len(out[0]) == len(set(out[0])) > 100
+    assert all(a < b and a // 2 != b // 2 for a, b in out[0])
+
+
+def test_rows_without_ids_do_not_multiply(spark, monkeypatch):
+    """A third of the rows has no doc_id: each text is fetched once."""
+    rng = random.Random(14)
+    rows = [(None if n % 3 == 0 else n, prose(rng, 30) + (" same tail" if n % 2 else ""), "s") for n in range(300)]
+    rows += [(None, rows[0][1] + " more", "s"), *rows[:1] * 20]
+    seen, inner = [], setsketch.written
+    monkeypatch.setattr(setsketch, "written", lambda df, name: seen.append((name, inner(df, name))) or seen[-1][1])
+    docs = documents(spark, rows)
+    assert sorted(collected(setsketch.near_duplicates(docs)), key=repr) == brute_near(rows)
+    told = setsketch._told(docs).dropDuplicates(["rid", "rid2"])
+    for name, wanted in seen:
+        if name == "wanted":
+            assert told.join(wanted, ["rid", "rid2"]).count() == wanted.count()
+    assert setsketch.keep_one(docs).count() == 300
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert setsketch.near_duplicates(nothing).count() == setsketch.keep_one(nothing).count() == 0
 
