@@ -187,15 +187,22 @@ class Block:
         self.ids, self.vectors = ids, vectors
         flat = leaves.ravel()
         order = np.argsort(flat, kind="stable")
-        self.rows, self.keys = order // max(1, leaves.shape[1]), flat[order]
+        self.rows = order // max(1, leaves.shape[1])
+        self.starts = np.searchsorted(flat[order], np.arange(int(flat.max(initial=-1)) + 2))
         self.compared = 0  # vectors that queries met, for reports
 
     def candidates(self, leaves: np.ndarray) -> np.ndarray:
         """The rows in any of these leaves, once each."""
-        start, end = np.searchsorted(self.keys, leaves, "left"), np.searchsorted(self.keys, leaves, "right")
-        count = end - start
+        leaves = leaves[leaves < len(self.starts) - 1]
+        start = self.starts[leaves]
+        count = self.starts[leaves + 1] - start
         place = np.cumsum(count) - count
-        return np.unique(self.rows[np.repeat(start - place, count) + np.arange(int(count.sum()))])
+        rows = self.rows[np.repeat(start - place, count) + np.arange(int(count.sum()))]
+        if len(rows) * 16 < len(self.ids):
+            return np.unique(rows)
+        there = np.zeros(len(self.ids), bool)
+        there[rows] = True
+        return np.flatnonzero(there)
 
     def best(self, q_ids: np.ndarray, queries: np.ndarray, leaves: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place of the query, row, score) of the k best candidates of each query."""
@@ -253,7 +260,7 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "
     most = calibrated(forest, sample, matrix(some)[0], k, share) if len(some) else 1
     shared = spark.sparkContext.broadcast(forest)
 
-    salts = max(1, -(-2 * spark.sparkContext.defaultParallelism // forest.cells))
+    salts = max(1, -(-spark.sparkContext.defaultParallelism // forest.cells))
     offsets = np.arange(TREES) * forest.leaves
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
