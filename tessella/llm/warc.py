@@ -1,7 +1,8 @@
 """WARC records, and revisits that say "not modified" resolved to their originals.
 
 A crawler that asks with a validator and gets 304 writes a revisit record
-without a body.  Each is resolved by an as-of join: the latest earlier full
+without a body, of the profile "server not modified" (kind ``revisit``).  Each
+is resolved by an as-of join: the latest earlier full
 response (its status one of ``FULL``; partial content, redirects, errors and
 responses without a status are passed over) with the same canonical URL is its
 original, if the validators agree (the entity tag, compared weakly; without
@@ -15,7 +16,12 @@ ranges.  A URL with a third of all records is so spread over all ranges; only
 ids, dates, headers and digests take part, and bodies are joined afterwards.
 Records of equal URL and date follow by id, responses before revisits.
 
-Status of a record: ``response`` (no revisit), ``resolved``, ``mismatch`` (the
+Revisits of other profiles (equal payload) say nothing about validators: their
+kind is ``other-revisit``, and they come back as they are.  A header that a
+record repeats is one, its values joined by ", ".
+
+Status of a record: ``response`` (no revisit), ``other`` (a revisit of another
+profile), ``resolved``, ``mismatch`` (the
 latest earlier full response has another validator), ``unverified`` (nothing to
 compare: the revisit or its original has no validator), ``missing`` (no earlier
 full response).  Only ``resolved`` records get the original's body and headers.
@@ -43,15 +49,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.common import file_system, new_folder, written
+from tessella.llm.common import file_system, new_folder, passing, written
 
 RANGES = 64
 #: Statuses of responses whose body is a whole page, and so may be a revisit's original.
 FULL = (200, 203)
 #: Headers of a stored response that a 304 never changes: what describes the body, and the connection's own.
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-location", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
+#: Kind of a revisit that isn't "not modified".
+OTHER = "other-revisit"
 SCHEMA = "record_id string, kind string, url string, date timestamp, status int, headers map<string,string>, body binary"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
+_SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Effort of gzip.
+LEVEL = 3
 
 
 # -- canonical URLs --------------------------------------------------------------------------
@@ -79,16 +90,18 @@ def _tag(headers: Column) -> Column:
 
 
 def _lower_names(headers: Column) -> Column:
-    """Header names in lower case; of names that then are equal the first stays."""
+    """Header names in lower case; of names that then are equal the values are joined."""
     pairs = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    first = F.aggregate(pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, e: F.when(F.exists(acc, lambda x: x["key"] == e["key"]), acc).otherwise(F.concat(acc, F.array(e))))
-    return F.map_from_entries(first)
+    joined = lambda k: F.array_join(F.transform(F.filter(pairs, lambda e: e["key"] == k), lambda e: e["value"]), ", ")
+    names = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
+    several = F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), joined(k).alias("value"))))
+    return F.when(F.size(names) == F.size(pairs), F.map_from_entries(pairs)).otherwise(several)
 
 
 def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
     """Every record with what it resolves to, without bodies.
 
-    records: record_id, kind ('response' or 'revisit'), url, date, status, headers,
+    records: record_id, kind ('response', 'revisit' or another), url, date, status, headers,
     and body unless ``digest`` is given as a column of records.  Result: record_id,
     url, canonical, date, kind, resolution, original_id, status, headers, digest.
     """
@@ -117,7 +130,7 @@ def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
     tags = _tag(mine).isNotNull() & _tag(its).isNotNull()
     dates = mine["last-modified"].isNotNull() & its["last-modified"].isNotNull()
     same = F.when(tags, _tag(mine) == _tag(its)).when(dates, mine["last-modified"] == its["last-modified"])
-    state = F.when(F.col("kind") == "response", "response").when(F.col("o").isNull(), "missing").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
+    state = F.when(F.col("kind") == "response", "response").when(F.coalesce(F.col("kind") != "revisit", F.lit(True)), "other").when(F.col("o").isNull(), "missing").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
     done = F.col("resolution") == "resolved"
     changed = F.map_filter(mine, lambda k, _: ~k.isin(*KEPT_HEADERS))
     merged = F.map_concat(F.map_filter(its, lambda k, _: ~F.map_contains_key(changed, k)), changed)
@@ -170,9 +183,10 @@ def write(records: DataFrame, folder: str) -> DataFrame:
                 http = f"HTTP/1.1 {row['status'] or 0} -\r\n".encode() + _lines(dict(row["headers"] or [])) + b"\r\n" + (row["body"] or b"")
                 date = row["date"].astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ") if row["date"] else None
                 head = {"WARC-Type": row["kind"], "WARC-Record-ID": row["record_id"], "WARC-Target-URI": row["url"], "WARC-Date": date}
-                head["WARC-Profile"] = _PROFILE if row["kind"] == "revisit" else None
+                head["WARC-Profile"] = {"revisit": _PROFILE, OTHER: _SAME_PAYLOAD}.get(row["kind"])
+                head["WARC-Type"] = "revisit" if row["kind"] == OTHER else row["kind"]
                 head |= {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(http))}
-                out.write(gzip.compress(b"WARC/1.1\r\n" + _lines(head) + b"\r\n" + http + b"\r\n\r\n", 6, mtime=0))
+                out.write(gzip.compress(b"WARC/1.1\r\n" + _lines(head) + b"\r\n" + http + b"\r\n\r\n", LEVEL, mtime=0))
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "records"])
@@ -202,7 +216,8 @@ def _fields(raw: bytes) -> dict[str, str]:
     for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            out.setdefault(name.strip().lower(), value.strip())
+            name, value = name.strip().lower(), value.strip()
+            out[name] = f"{out[name]}, {value}" if name in out else value
     return out
 
 
@@ -214,10 +229,13 @@ def parse(member: bytes) -> dict | None:
         return None
     content = content[: int(warc.get("content-length", 0))]
     http, _, body = content.partition(b"\r\n\r\n")
+    kind = warc["warc-type"]
+    if kind == "revisit" and not (warc.get("warc-profile") or _PROFILE).endswith("server-not-modified"):
+        kind = OTHER
     status = http.split(b" ", 2)[1:2]
     date = warc.get("warc-date")
     return {
-        "record_id": warc.get("warc-record-id"), "kind": warc["warc-type"], "url": warc.get("warc-target-uri"),
+        "record_id": warc.get("warc-record-id"), "kind": kind, "url": warc.get("warc-target-uri"),
         "date": datetime.fromisoformat(date.replace("Z", "+00:00")) if date else None,
         "status": int(status[0]) if status and status[0].isdigit() else None,
         "headers": list(_fields(http).items()), "body": body,
@@ -257,37 +275,53 @@ def _days(n: Column) -> Column:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Records like those of a crawl: of each page a response on day page_id, and a revisit 1000 days later.
+    """Records like those of a crawl, several of each page.  With day its page_id:
+
+    * on day a full response (r), and on day + 400 another, of other text (s);
+    * on day + 300 a partial one (p, status 206) with the tag of a third text;
+    * revisits before the first response (u, day - 1), after it (v, day + 200),
+      with its tag after the second (w, day + 600), with the second's (x, day +
+      600), and one of another profile (y, day + 700, every tenth page).
 
-    The revisit's validator is the response's entity tag (weak for every second
-    page), but for pages divisible by 5 only the modification date, for those
-    divisible by 7 another tag, and for those divisible by 11 none.
+    v's validator is r's tag (weak for every second page), but for pages
+    divisible by 5 only the modification date, for those divisible by 7 another
+    tag, and for those divisible by 11 none.
     """
     day = F.coalesce("page_id", F.lit(0))
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit(""))), F.lit('"'))
-    modified = F.concat(F.lit("day "), day.cast("string"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
-    full = pages.select(
-        F.concat(F.lit("r"), name).alias("record_id"), F.lit("response").alias("kind"), "url", _days(day).alias("date"), F.lit(200).alias("status"),
-        F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Last-Modified"), modified, F.lit("Cache-Control"), F.lit("max-age=60")).alias("headers"),
-        F.coalesce("html", F.lit("")).cast("binary").alias("body"),
-    )
+    first, second = F.coalesce("html", F.lit("")), F.concat(F.lit("second text of "), name)
+    tag = lambda text: F.concat(F.lit('"'), F.md5(text), F.lit('"'))
+    modified = lambda d: F.concat(F.lit("day "), d.cast("string"))
+    none = F.create_map().cast("map<string,string>")
+
+    def record(kind: str, mark: str, d: Column, status: int, headers: Column, body: Column) -> Column:
+        return F.struct(F.concat(F.lit(mark), name).alias("record_id"), F.lit(kind).alias("kind"), "url", _days(d).alias("date"), F.lit(status).alias("status"), headers.alias("headers"), body.cast("binary").alias("body"))
+
+    def full(mark: str, d: Column, status: int, text: Column, stamp: Column) -> Column:
+        return record("response", mark, d, status, F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), stamp, F.lit("Last-Modified"), modified(d), F.lit("Cache-Control"), F.lit("max-age=60")), text)
+
+    def again(mark: str, d: Column, validators: Column, kind: str = "revisit") -> Column:
+        return record(kind, mark, d, 304, F.map_concat(validators, F.create_map(F.lit("Cache-Control"), F.lit("max-age=90"), F.lit("Content-Length"), F.lit("0"))), F.lit(b""))
+
     of = lambda n: day % n == 0
-    sent = F.when(of(7), F.lit('"other"')).when(of(2), F.concat(F.lit("W/"), tag)).otherwise(tag)
-    validators = F.when(of(11), F.create_map().cast("map<string,string>")).when(of(5), F.create_map(F.lit("Last-Modified"), modified)).otherwise(F.create_map(F.lit("ETag"), sent))
-    again = pages.select(
-        F.concat(F.lit("v"), name).alias("record_id"), F.lit("revisit").alias("kind"), "url", _days(day + 1000).alias("date"), F.lit(304).alias("status"),
-        F.map_concat(validators, F.create_map(F.lit("Cache-Control"), F.lit("max-age=90"), F.lit("Content-Length"), F.lit("0"))).alias("headers"),
-        F.lit(b"").alias("body"),
-    )
-    return full.unionByName(again)
+    etag = lambda t: F.create_map(F.lit("ETag"), t)
+    sent = F.when(of(7), F.lit('"other"')).when(of(2), F.concat(F.lit("W/"), tag(first))).otherwise(tag(first))
+    validators = F.when(of(11), none).when(of(5), F.create_map(F.lit("Last-Modified"), modified(day))).otherwise(etag(sent))
+    records = [
+        full("r", day, 200, first, tag(first)), full("s", day + 400, 200, second, tag(second)), full("p", day + 300, 206, F.lit("part"), F.lit('"part"')),
+        again("u", day - 1, etag(tag(first))), again("v", day + 200, validators), again("w", day + 600, etag(tag(first))), again("x", day + 600, etag(tag(second))),
+        F.when(of(10), again("y", day + 700, etag(tag(second)), OTHER)),
+    ]
+    return pages.select(F.inline(F.filter(F.array(*records), lambda r: r.isNotNull())))
 
 
 def resolved_pages(pages: DataFrame) -> DataFrame:
     """Captures of pages written as WARC files, read again and resolved; the digest is that of the body joined."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
-    records = read(spark, folder, write(captures(pages), folder))
+    files = write(captures(pages), folder)
+    passing(spark, folder)
+    records = read(spark, folder, files)
     out = with_bodies(resolve(records), records).withColumn("digest", F.md5(F.coalesce("body", F.lit(b""))))
     return out.select("record_id", "canonical", F.unix_seconds("date").alias("epoch"), "kind", "resolution", "original_id", "status", header_lines("headers").alias("headers"), "digest")
 
@@ -301,22 +335,28 @@ def sql() -> str:
     path = f"regexp_extract({rest}, '^[^/?]*([^?]*)', 1)"
     query = f"array_to_string(list_sort(list_filter(string_split(regexp_extract({rest}, '^[^?]*\\?(.*)$', 1), '&'), lambda x: x <> '')), '&')"
     return f"""
-with p as (select coalesce(page_id, 0) as day, coalesce(page_id::varchar, '-') as name, url, md5(coalesce(html, '')) as digest,
+with p as (select coalesce(page_id, 0) as day, coalesce(page_id::varchar, '-') as name, md5(coalesce(html, '')) as one, md5('second text of ' || coalesce(page_id::varchar, '-')) as two,
   case when {clean} <> '' then {authority} || (case when {path} = '' then '/' else {path} end) || (case when {query} = '' then '' else '?' || {query} end) end as canonical from pages),
-r as (select 'r' || name as record_id, canonical, day as day_at, 'response' as kind, '"' || digest || '"' as etag, 'day ' || day as modified, digest from p),
-v as (select 'v' || name as record_id, canonical, day + 1000 as day_at, 'revisit' as kind,
-  case when day % 11 = 0 or day % 5 = 0 then null when day % 7 = 0 then '"other"' else '"' || digest || '"' end as etag,
-  case when day % 11 = 0 then null when day % 5 = 0 then 'day ' || day end as modified,
-  case when day % 11 <> 0 and day % 5 <> 0 then (case when day % 7 = 0 then '"other"' when day % 2 = 0 then 'W/"' || digest || '"' else '"' || digest || '"' end) end as sent from p),
-a as (select v.*, o.record_id as o_id, o.etag as o_etag, o.modified as o_modified, o.digest as o_digest from v left join
-  (select v.record_id as v_id, r.*, row_number() over (partition by v.record_id order by r.day_at desc, r.record_id desc) as n from v join r on r.canonical = v.canonical and r.day_at <= v.day_at) o on o.v_id = v.record_id and o.n = 1),
+f as (select 'r' || name as record_id, canonical, day as at_, 200 as status, '"' || one || '"' as etag, one as digest from p
+  union all select 's' || name, canonical, day + 400, 200, '"' || two || '"', two from p
+  union all select 'p' || name, canonical, day + 300, 206, '"part"', md5('part') from p),
+v as (select 'u' || name as record_id, canonical, day - 1 as at_, '"' || one || '"' as sent, null as modified from p
+  union all select 'v' || name, canonical, day + 200, case when day % 11 = 0 or day % 5 = 0 then null when day % 7 = 0 then '"other"' when day % 2 = 0 then 'W/"' || one || '"' else '"' || one || '"' end,
+    case when day % 11 <> 0 and day % 5 = 0 then 'day ' || day end from p
+  union all select 'w' || name, canonical, day + 600, '"' || one || '"', null from p
+  union all select 'x' || name, canonical, day + 600, '"' || two || '"', null from p),
+a as (select v.*, regexp_replace(sent, '^W/', '') as etag, o.record_id as o_id, o.etag as o_etag, 'day ' || o.at_ as o_modified, o.digest as o_digest from v left join
+  (select v.record_id as v_id, f.*, row_number() over (partition by v.record_id order by f.at_ desc, f.record_id desc) as n from v join f on f.canonical = v.canonical and f.at_ <= v.at_ and f.status = 200) o on o.v_id = v.record_id and o.n = 1),
 s as (select *, case when o_id is null then 'missing' when etag is not null then (case when etag = o_etag then 'resolved' else 'mismatch' end)
   when modified is not null then (case when modified = o_modified then 'resolved' else 'mismatch' end) else 'unverified' end as resolution from a)
-select record_id, canonical, (1700000000 + day_at * 86400)::bigint as epoch, kind, 'response' as resolution, null::varchar as original_id, 200::int as status,
-  concat_ws(chr(10), 'cache-control: max-age=60', 'content-type: text/html', 'etag: ' || etag, 'last-modified: ' || modified) as headers, digest from r
+select record_id, canonical, (1700000000 + at_ * 86400)::bigint as epoch, 'response' as kind, 'response' as resolution, null::varchar as original_id, status::int as status,
+  concat_ws(chr(10), 'cache-control: max-age=60', 'content-type: text/html', 'etag: ' || etag, 'last-modified: day ' || at_) as headers, digest from f
 union all
-select record_id, canonical, (1700000000 + day_at * 86400)::bigint, kind, resolution, case when resolution = 'resolved' then o_id end,
+select record_id, canonical, (1700000000 + at_ * 86400)::bigint, 'revisit', resolution, case when resolution = 'resolved' then o_id end,
   case when resolution = 'resolved' then 200 else 304 end::int,
   case when resolution = 'resolved' then concat_ws(chr(10), 'cache-control: max-age=90', 'content-type: text/html', 'etag: ' || coalesce(sent, o_etag), 'last-modified: ' || coalesce(modified, o_modified))
   else concat_ws(chr(10), 'cache-control: max-age=90', 'content-length: 0', 'etag: ' || sent, 'last-modified: ' || modified) end,
-  case when resolution = 'resolved' then o_digest else md5('') end from s"""
+  case when resolution = 'resolved' then o_digest else md5('') end from s
+union all
+select 'y' || name, canonical, (1700000000 + (day + 700) * 86400)::bigint, '{OTHER}', 'other', null, 304,
+  concat_ws(chr(10), 'cache-control: max-age=90', 'content-length: 0', 'etag: "' || two || '"'), md5('') from p where day % 10 = 0"""

@@ -43,10 +43,11 @@ def brute_chats(rows):
     return out
 
 
-@pytest.mark.parametrize("block, part", [(256, 1024), (2, 2)])
-def test_chats(spark, monkeypatch, block, part):
-    monkeypatch.setattr(chat, "BLOCK", block)
+@pytest.mark.parametrize("ranges, part", [(4, 1024), (1, 1024), (60, 2)])
+def test_chats(spark, monkeypatch, ranges, part):
     monkeypatch.setattr(chat, "PART", part)
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as many ranges as asked for
     rng = random.Random(1)
     rows = []
     for base in range(8):
@@ -60,6 +61,24 @@ def test_chats(spark, monkeypatch, block, part):
         joined[(r.conv_id, r.n_turns, r.copies)] += r.text
     assert {(*k, t) for k, t in joined.items()} == brute_chats(rows)
     assert chat.collapse(spark.createDataFrame([], CHATS)).count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_turns_of_one_number_spread_over_ranges(spark):
+    """A conversation with a third of all turns, all of one number or none, is in several ranges, and right."""
+    rows = [(None, None, "user", f"x{n}") for n in range(300)] + [(7, 5, "user", f"y{n}") for n in range(300)] + [(8, 5, "user", f"y{n}") for n in range(300)]
+    order = sorted(rows[300:600], key=lambda r: hashlib.md5(("1" + hashlib.md5(b"user").hexdigest() + "1" + hashlib.md5(r[3].encode()).hexdigest()).encode()).hexdigest())
+    rows += [(9, k, *r[2:]) for k, r in enumerate(order[:150])]
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    chats = spark.createDataFrame([(*r, *"xxxx") for r in rows], CHATS)
+    placed = chat.prefixes(chats)
+    assert placed.count() == 1050 and placed.where("last").count() == 4
+    assert {(r.conv, r.n_turns, r.copies) for r in chat.maximal(placed).collect()} == {(None, 300, 1), (7, 300, 2)}
+    assert placed.groupBy("conv").agg(F.countDistinct("place").alias("n"), F.max("place").alias("m")).where("n <> m").count() == 0
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 # -- vectors --------------------------------------------------------------------------------------------
@@ -303,12 +322,35 @@ def test_digests_are_of_joined_bodies(spark, monkeypatch):
     pages = spark.createDataFrame([(1, "http://h/", "x"), (None, None, None), (None, None, None), (3, "", "y")], "page_id long, url string, html string")
     md5 = lambda b: hashlib.md5(b).hexdigest()
     got = sorted((r.record_id, r.digest) for r in warc.resolved_pages(pages).collect())
-    assert got == sorted([("r1", md5(b"x")), ("v1", md5(b"x")), ("r-", md5(b"")), ("v-", md5(b"")), ("r-", md5(b"")), ("v-", md5(b"")), ("r3", md5(b"y")), ("v3", md5(b""))])
+    own = lambda n, html: [(f"r{n}", md5(html)), (f"s{n}", md5(b"second text of " + n.encode())), (f"p{n}", md5(b"part"))]
+    empty = lambda n, marks: [(m + n, md5(b"")) for m in marks]
+    want = own("1", b"x") + [("u1", md5(b"")), ("v1", md5(b"x")), ("w1", md5(b"")), ("x1", md5(b"second text of 1"))] + 2 * (own("-", b"") + empty("-", "uvwxy")) + own("3", b"y") + empty("3", "uvwx")
+    assert got == sorted(want)
     inner = warc.with_bodies
     monkeypatch.setattr(warc, "with_bodies", lambda *a: inner(*a).withColumn("body", F.lit(b"other")))
     assert {r.digest for r in warc.resolved_pages(pages).collect()} == {md5(b"other")}
 
 
+def test_profiles_and_repeated_headers():
+    def member(kind, profile, http):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: i\r\nWARC-Target-URI: http://h/\r\nContent-Length: {len(http)}\r\n"
+        return (head + (f"WARC-Profile: {profile}\r\n" if profile else "")).encode() + b"\r\n" + http
+
+    http = b"HTTP/1.1 200 OK\r\nLink: a\r\nlink: b\r\nX: y\r\n\r\nbody"
+    found = warc.parse(member("response", None, http))
+    assert dict(found["headers"]) == {"link": "a, b", "x": "y"} and found["kind"] == "response" and found["body"] == b"body"
+    base = "http://netpreserve.org/warc/1.0/revisit/"
+    kinds = [warc.parse(member("revisit", p and base + p, http))["kind"] for p in ("server-not-modified", "identical-payload-digest", None)]
+    assert kinds == ["revisit", "other-revisit", "revisit"] and warc.parse(member("request", None, http)) is None
+
+
+def test_other_revisits_and_repeated_headers_of_a_table(spark):
+    rows = [("a", "response", "http://h/", _day(1), 200, {"ETag": '"1"', "LINK": "a", "Link": "b"}, b"x"), ("b", "other-revisit", "http://h/", _day(2), 200, {"ETag": '"1"'}, b""), ("c", None, "http://h/", _day(2), 200, {}, b""), ("d", "revisit", "http://h/", _day(3), 304, {"ETag": '"1"'}, b"")]
+    got = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, warc.SCHEMA)).collect()}
+    assert {k: r.resolution for k, r in got.items()} == {"a": "response", "b": "other", "c": "other", "d": "resolved"}
+    assert got["d"].original_id == "a" and got["d"].headers["link"] in ("a, b", "b, a") and got["b"].status == 200
+
+
 def test_warc_files(spark):
     records = spark.createDataFrame([r for r in RECORDS if r[2]] + [("k", "response", "http://h/y", _day(1), 200, {"A": "b"}, bytes(range(256)) * 500)], warc.SCHEMA)
     folder = new_folder(spark, "test-warc")
@@ -320,7 +362,7 @@ def test_warc_files(spark):
     empty = spark.createDataFrame([], warc.SCHEMA)
     assert warc.resolve(empty).count() == 0 and warc.read(spark, folder, warc.write(empty, folder)).count() == 0
     pages = spark.createDataFrame([(1, "http://h/", "x"), (None, None, None), (3, "", "y")], "page_id long, url string, html string")
-    assert warc.resolved_pages(pages).count() == 6
+    assert warc.resolved_pages(pages).count() == 22
 
 
 # -- pipeline and registry -----------------------------------------------------------------------------
