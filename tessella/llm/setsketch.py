@@ -60,7 +60,9 @@ BLOCK = 2048
 PAIRS = 100_000
 #: Members of a pivot that one task confirms in a row; larger stars are salted.
 STAR = 1000
-#: A list of wanted documents is broadcast up to so many rows (about 5 MB), and joined by a shuffle beyond.
+#: Numbers to which wanted documents are hashed, for a list that is broadcast (8 MB at most).
+RESIDUES = 1 << 20
+#: The list of duplicates to drop is broadcast up to so many rows (about 5 MB), and joined by a shuffle beyond.
 BROADCAST_ROWS = 50_000
 
 _rng = np.random.default_rng(seeded("setsketch", 1))
@@ -341,23 +343,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     pivots = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("node"))
     wanted = members.unionByName(pivots).join(classes.select("node", F.col("first.rid").alias("rid"), F.col("first.rid2").alias("rid2"), "c1", "c2"), "node")
     wanted = written(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
     texts = _told(docs.select("doc_id", "text")).select("rid", "rid2", F.col("text").cast("string").alias("text"))
-    if not few:  # rows that repeat are combined before the shuffle that the join then uses
-        texts = texts.dropDuplicates(["rid", "rid2"])
-    met = texts.join(F.broadcast(wanted) if few else wanted, ["rid", "rid2"]).select("a", "salt", "role", "node", "c1", "c2", "text")
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that repeat go out once a task."""
-        seen: set[tuple] = set()
-        for batch in batches:
-            for part in parts(batch, 6):
-                keys = list(zip(*(part.column(k).to_pylist() for k in range(4))))
-                fresh = [not (k in seen or seen.add(k)) for k in keys]
-                yield part.filter(pa.array(fresh, pa.bool_()))
-
-    if few:
-        met = met.mapInArrow(once, met.schema)
+    # most texts that nothing asks for go before the shuffle, by a list of at most RESIDUES numbers; rows that
+    # repeat are combined before it, and the join uses it
+    residue = F.pmod("rid", F.lit(RESIDUES))
+    texts = texts.join(F.broadcast(wanted.select(residue.alias("__m")).distinct()), residue == F.col("__m"), "left_semi").dropDuplicates(["rid", "rid2"])
+    met = texts.join(wanted, ["rid", "rid2"]).select("a", "salt", "role", "node", "c1", "c2", "text")
     met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
