@@ -11,6 +11,12 @@ from tessella.functions.stopwords import STOPWORDS
 #: Elements whose content is no text of the page.
 SKIPPED = ("script", "style", "title", "iframe", "noscript", "object", "frameset", "noembed", "noframes")
 FNV_BASIS = 14695981039346656037
+#: A tag's inside up to its end: a > counts unless it is in a quoted attribute value; what is never closed goes on to the end.
+_INSIDE = r"""(?:[^>=]|=\s*"[^"]*(?:"|\z)|=\s*'[^']*(?:'|\z)|=)*(?:>|\z)"""
+#: Comments, skipped elements with their content, tags and markup declarations, in one pass from left to right.
+MARKUP = "(?is)" + "|".join([r"<!--.*?(?:-->|\z)", *(rf"<{name}\b{_INSIDE}.*?(?:</{name}\s*>|\z)" for name in SKIPPED), rf"</?[a-z]{_INSIDE}", r"<[!?/][^>]*(?:>|\z)"])
+#: The same without backtracking, as java.util.regex has it.
+_JAVA = MARKUP.replace("[^>=]|", "[^>=]++|").replace(")*(?:>|", ")*+(?:>|")
 
 
 def _col(c: str | Column) -> Column:
@@ -42,13 +48,10 @@ def gram_size(term: str | Column) -> Column:
 def strip_tags(html: str | Column) -> Column:
     """Text of a page with tags, comments and skipped elements gone, entities as they are.
 
-    Tags leave no blank behind.  JVM-side only.
+    Tags leave no blank behind; a script or comment that is never closed goes on
+    to the end of the page.  JVM-side only.
     """
-    out = _col(html)
-    for name in SKIPPED:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b.*?</{name}\s*>", "")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
-    return F.regexp_replace(out, r"<[^>]*>", "")
+    return F.regexp_replace(_col(html), _JAVA, "")
 
 
 def strip_html(html: str | Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -42,34 +43,57 @@ def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.join(df.groupBy(key).agg(F.min(order).alias("__first")).select("__first"), F.col(order) == F.col("__first"), "left_semi")
 
 
-class _Hashes(dict):
-    """FNV-1 hashes of the words seen so far, as 64 votes of -1 or 1."""
+def fnv1_of(words: pa.Array) -> np.ndarray:
+    """64-bit FNV-1 hashes of strings, letter by letter for all of them at once."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    start, size = offsets[:-1], np.diff(offsets)
+    out = np.full(len(words), FNV_BASIS, np.uint64)
+    order = np.argsort(-size, kind="stable")  # the longest first: those with a further letter stay in front
+    start, size = start[order], -size[order]
+    hashes = out[order]
+    for k in range(int(-size[0]) if len(size) else 0):
+        n = int(np.searchsorted(size, -k))
+        hashes[:n] = hashes[:n] * np.uint64(1099511628211) ^ data[start[:n] + k]
+    out[order] = hashes
+    return out
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) > 200_000:
-            self.clear()
-        h = FNV_BASIS
-        for byte in word.encode():
-            h = (h * 1099511628211 & (1 << 64) - 1) ^ byte
-        bits = np.unpackbits(np.array([h], "<u8").view(np.uint8), bitorder="little").astype(np.int8)
-        self[word] = votes = 2 * bits - 1
-        return votes
 
+def simhashes(lists: pa.Array, at_once: int = 500_000) -> np.ndarray:
+    """64-bit simhashes, signed, of lists of words: each word's occurrence votes on each bit, ties count as 1.
 
-def simhash_of(words: list[str], known: dict | None = None) -> int:
-    """64-bit simhash, signed: each word's occurrence votes on each bit, ties count as 1."""
-    known = _Hashes() if known is None else known
-    total = np.zeros(64, np.int64)
-    for word in words:
-        total += known[word]
-    return int(np.packbits(total >= 0, bitorder="little").view("<i8")[0])
-
-
-@F.pandas_udf(LongType())
-def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    known = _Hashes()
+    The different words of all lists are hashed once; votes are added up list by list.
+    """
+    words = lists.flatten()
+    counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    coded = words.dictionary_encode() if not isinstance(words, pa.DictionaryArray) else words
+    bits = np.unpackbits(fnv1_of(coded.dictionary).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    ends, out = np.cumsum(counts), np.empty(len(counts), np.int64)
+    at = 0
+    while at < len(counts):  # so many words at a time
+        first = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, first + at_once, "right")))
+        own = bits[codes[first : int(ends[stop - 1])]]
+        full = counts[at:stop] > 0
+        ones = np.zeros((stop - at, 64), np.int64)
+        if full.any():
+            ones[full] = np.add.reduceat(own, (ends[at:stop] - counts[at:stop] - first)[full], axis=0, dtype=np.int64)
+        out[at:stop] = np.packbits(2 * ones >= counts[at:stop, None], axis=1, bitorder="little").view("<i8")[:, 0]
+        at = stop
+    return out
+
+
+def simhash_of(words: list[str]) -> int:
+    """The simhash of one list of words."""
+    return int(simhashes(pa.array([words], pa.list_(pa.string())))[0])
+
+
+@F.arrow_udf(LongType())
+def _simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for words in batches:
-        yield words.map(lambda own: simhash_of([] if own is None else own, known)).astype("int64")
+        yield pa.array(simhashes(words), pa.int64())
 
 
 def simhash(words: str | Column) -> Column:

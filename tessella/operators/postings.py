@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import gram_size
-
 TEXT, TAG = 0, 1
 NO_POSITION = 65_535
 WEIGHTS = {"title": 5.0, "h1": 3.0, "h2": 2.0, "h3": 1.0, "b": 0.5, "i": 0.5}
 TEXT_WEIGHT = 0.0
-_POSTING = "array<struct<term:string,type:tinyint,tag:string,pos:int>>"
+_POSTING = "array<struct<term:string,gram_n:int,type:tinyint,tag:string,pos:int>>"
 
 
-def _as_postings(terms: Column, kind: int, tag: Column, pos) -> Column:
-    return F.transform(terms, lambda t, i: F.struct(t.alias("term"), F.lit(kind).cast("tinyint").alias("type"), tag.alias("tag"), pos(i).cast("int").alias("pos")))
+def _as_postings(terms: Column, size: int, kind: int, tag: Column, pos) -> Column:
+    return F.transform(terms, lambda t, i: F.struct(t.alias("term"), F.lit(size).alias("gram_n"), F.lit(kind).cast("tinyint").alias("type"), tag.alias("tag"), pos(i).cast("int").alias("pos")))
 
 
 def invert(docs: DataFrame) -> DataFrame:
@@ -26,16 +24,36 @@ def invert(docs: DataFrame) -> DataFrame:
     """
     place = lambda i: i
     nowhere = lambda i: F.lit(NO_POSITION)
-    tagged = F.flatten(F.transform(F.map_entries("tag_map"), lambda e: _as_postings(e["value"], TAG, e["key"], lambda i: i % 65_536)))
-    text = [_as_postings(F.col(c), TEXT, F.lit(""), f) for c, f in (("tokens", place), ("original_tokens", nowhere), ("two_grams", place), ("three_grams", place))]
+    tagged = F.flatten(F.transform(F.map_entries("tag_map"), lambda e: _as_postings(e["value"], 1, TAG, e["key"], lambda i: i % 65_536)))
+    text = [_as_postings(F.col(c), n, TEXT, F.lit(""), f) for c, n, f in (("tokens", 1, place), ("original_tokens", 1, nowhere), ("two_grams", 2, place), ("three_grams", 3, place))]
     rows = docs.select("doc_id", F.inline(F.concat(*text, tagged).cast(_POSTING)))
-    return rows.select("term", gram_size("term").alias("gram_n"), "type", "doc_id", "tag", "pos")
+    return rows.select("term", "gram_n", "type", "doc_id", "tag", "pos")
+
+
+def posting_id() -> Column:
+    """A posting's identity within its term: type-doc_id-tag-pos."""
+    return F.format_string("%d-%d-%s-%d", F.col("type").cast("int"), "doc_id", "tag", "pos")
+
+
+def posting_size() -> Column:
+    """Bytes of a posting in memory: four words and its tag."""
+    return F.lit(32) + F.octet_length("tag")
+
+
+def distinct_postings(postings: DataFrame) -> DataFrame:
+    """Postings of which a term has each identity once (merging keeps repeats)."""
+    return postings.dropDuplicates(["term", "type", "doc_id", "tag", "pos"])
 
 
 def doc_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, url, doc_len): the number of postings that a document makes."""
+    """(doc_id, url, doc_len): the number of postings that a document makes.
+
+    By arithmetic on the number of its words: a stem for each, and every
+    neighbouring two and three.  So no stem or n-gram is made for it.
+    """
     tags = F.aggregate(F.map_values("tag_map"), F.lit(0), lambda n, x: n + F.size(x))
-    return docs.select("doc_id", "url", (F.size("tokens") + F.size("original_tokens") + F.size("two_grams") + F.size("three_grams") + tags).cast("long").alias("doc_len"))
+    words = F.size("original_tokens")
+    return docs.select("doc_id", "url", (2 * words + F.greatest(words - 1, F.lit(0)) + F.greatest(words - 2, F.lit(0)) + tags).cast("long").alias("doc_len"))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:
@@ -60,8 +78,8 @@ def term_docs(postings: DataFrame, text_weight: float = TEXT_WEIGHT) -> DataFram
 
 
 def term_totals(pairs: DataFrame) -> DataFrame:
-    """(term, gram_n, df, n_postings, bytes) from term_docs or unions of them."""
-    return pairs.groupBy("term", "gram_n").agg(F.count_distinct("doc_id").alias("df"), F.sum("n_postings").alias("n_postings"), F.sum("bytes").alias("bytes"))
+    """(term, gram_n, df, n_postings, bytes) from term_docs, whose rows are unique by term and doc_id; unions go through :func:`merged` first."""
+    return pairs.groupBy("term", "gram_n").agg(F.count("*").alias("df"), F.sum("n_postings").alias("n_postings"), F.sum("bytes").alias("bytes"))
 
 
 def frequent(totals: DataFrame) -> DataFrame:

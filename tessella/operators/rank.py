@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 K1, B = 1.5, 0.75
 TFIDF, BM25 = "tfidf", "bm25"
+ASKED_TERMS = 200_000
 
 
 def query_counts(queries: DataFrame, terms: Column, key: str = "query_id") -> DataFrame:
@@ -42,6 +43,15 @@ def scores(counts: DataFrame, pairs: DataFrame, totals: DataFrame, lengths: Data
     return rows.groupBy(key, "doc_id").agg(F.sum(_tfidf() if ranker == TFIDF else _bm25()).alias("score"))
 
 
+def asked_postings(postings: DataFrame, counts: DataFrame) -> DataFrame:
+    """The postings of the queries' terms: the first thing to do, before anything is totalled.
+
+    The terms are broadcast up to ``ASKED_TERMS`` of them (counted first), and joined by a shuffle beyond.
+    """
+    terms = counts.select("term").distinct()
+    return postings.join(F.broadcast(terms) if terms.count() <= ASKED_TERMS else terms, "term", "left_semi")
+
+
 def top(scored: DataFrame, k: int, key: str = "query_id", digits: int | None = None) -> DataFrame:
     """The k best documents of each query with their rank, equal scores by doc_id; k <= 0: all.
 

@@ -44,9 +44,8 @@ def build(docs: DataFrame, text_weight: float = postings.TEXT_WEIGHT) -> Index:
     """The index of documents (see operators.parse).
 
     Terms of one posting go; document lengths count them nevertheless.  The
-    documents are parsed once, into postings.
+    documents are parsed into postings, and read once more for their lengths.
     """
-    docs = kept(docs, "documents")
     rows = kept(postings.invert(docs), "postings")
     pairs = kept(postings.term_docs(rows, text_weight), "term-docs")
     terms = postings.frequent(postings.term_totals(pairs))

@@ -15,12 +15,26 @@ def _own_folder() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, where it is set; else (tests on one machine) a folder of this process."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """spark.checkpoint.dir, where it is set; on one machine only, as in tests, else a folder of this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, safe from lost executors."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: computed once, safe from lost executors; deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    passing(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def passing(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the driver ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

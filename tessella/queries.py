@@ -78,10 +78,7 @@ _P = _KEPT + f", p as ({_exploded('k')})"
 _TOTALS = _P + f", u as (select term, gram_n, count(distinct doc_id) as df, count(*) as n_postings, sum(3 + {_WIDTH})::bigint as bytes from p group by term, gram_n)"
 _FREQUENT = _TOTALS + ", f as (select * from u where n_postings > 1)"
 
-_STRIP = "html"
-for _name in T.SKIPPED:
-    _STRIP = f"regexp_replace({_STRIP}, '(?is)<{_name}\\b.*?</{_name}\\s*>', '', 'g')"
-_STRIP = f"regexp_replace(regexp_replace({_STRIP}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+_STRIP = "regexp_replace(html, '" + T.MARKUP.replace("'", "''") + "', '', 'g')"
 for _entity, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
     _STRIP = f"replace({_STRIP}, '{_entity}', '{_char}')"
 _HEAD = {tag: f"coalesce({_TOK.format(f'''replace(replace(regexp_extract(html, '(?is)<{tag}>([^<]*)', 1), '&amp;', '&'), '&quot;', '\"')''')}, [])" for tag in ("title", "h1")}
@@ -413,11 +410,11 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, sf_dir: str, docs: DataFrame, ranker: str, text_weight: float, counts: DataFrame | None = None) -> DataFrame:
-    docs = kept(docs, "documents")
-    pairs = kept(postings.term_docs(postings.invert(docs), text_weight), "term-docs")
+    counts = counts if counts is not None else kept(_asked(spark, sf_dir), "asked")
+    lengths = kept(postings.doc_lengths(docs), "doc-lengths")
+    pairs = kept(postings.term_docs(rank.asked_postings(postings.invert(docs), counts), text_weight), "term-docs")
     totals = postings.frequent(postings.term_totals(pairs))
-    lengths = postings.doc_lengths(docs)
-    scored = rank.scores(counts if counts is not None else _asked(spark, sf_dir), pairs, totals, lengths, postings.corpus_stats(lengths), ranker)
+    scored = rank.scores(counts, pairs, totals, lengths, postings.corpus_stats(lengths), ranker)
     return rank.top(scored, K, digits=9).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
