@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from tessella.llm.common import parts, with_fields
 
@@ -138,6 +138,40 @@ class _Slots(dict):
         return at
 
 
+def _understood(spec: dict) -> None:
+    """Raise ValueError for a file of which anything would be encoded or decoded otherwise than here."""
+    model = spec["model"]
+    plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+    odd = [k for k, v in plain.items() if (model.get(k) or None) != (v or None)]
+    for token in spec.get("added_tokens") or []:
+        odd += [f"added token {token['content']}: {k}" for k in ("single_word", "lstrip", "rstrip", "normalized") if token.get(k)]
+        if not token["content"].startswith("<|"):
+            odd.append(f"added token {token['content']}")
+    if spec.get("post_processor"):
+        odd.append("post_processor")
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": not model.get("end_of_word_suffix")}
+    splits = spec.get("pre_tokenizer") or {}
+    if model.get("end_of_word_suffix"):
+        normal = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+        if spec.get("normalizer") != {"type": "Sequence", "normalizers": normal}:
+            odd.append("normalizer")
+        if spec.get("decoder"):
+            odd.append("decoder")
+        own = splits.get("pretokenizers") or [{}]
+        if len(own) != 2 or {k: own[0].get(k) for k in ("type", "behavior", "invert")} != {"type": "Split", "behavior": "Removed", "invert": True}:
+            odd.append("pre_tokenizer")
+        splits = own[-1]
+    else:
+        if spec.get("normalizer"):
+            odd.append("normalizer")
+        if (spec.get("decoder") or {}).get("type") not in (None, "ByteLevel"):
+            odd.append("decoder")
+    if {k: splits.get(k) for k in level} != level:
+        odd.append("pre_tokenizer")
+    if odd:
+        raise ValueError("a tokenizer file of another kind: " + ", ".join(odd))
+
+
 class Tokenizer:
     """A tokenizers-library BPE file, encoded by :class:`MergeTable`.
 
@@ -151,8 +185,7 @@ class Tokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        if model["type"] != "BPE":
-            raise ValueError("not a BPE vocabulary")
+        _understood(spec)
         vocab = model["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         suffix = model.get("end_of_word_suffix") or ""
@@ -293,8 +326,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
     return keep.mapInArrow(run, with_fields(keep, **{text: StringType()}))
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text.
+def digests(docs: DataFrame, path: str, extra: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, and the extra columns as they are.
 
     Encodes and decodes in the same pass, so ids and decoded texts never cross
     between the JVM and Python.
@@ -308,9 +341,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 one = [hashlib.sha256(tok.numeral_text(x).encode()).hexdigest() for x in arrays]
                 two = [hashlib.sha256(tok.decode(x).encode()).hexdigest() for x in arrays]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(x) for x in arrays], pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [part.column(0), pa.array([len(x) for x in arrays], pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string()), *part.columns[2:]],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *extra],
                 )
 
-    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    own = StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    return columns.mapInArrow(run, StructType([*own.fields, *(columns.schema[c] for c in extra)]))

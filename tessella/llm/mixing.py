@@ -14,6 +14,9 @@ Running totals are taken in two steps, within hash buckets of a source and
 over the buckets, so that a source with most of the rows is spread over all
 tasks.  Rows that repeat exactly are counted before they are shuffled.
 
+The mix has docs' columns and ``mix_position`` and ``mix_copy`` (columns of these
+names in docs are replaced).
+
 Defined results for odd input: a null or empty text has size 0 and is never
 taken; a null source is a source of its own, after all others; a null doc_id
 is a doc_id of its own; rows that repeat share their place in the stream, one
@@ -140,7 +143,7 @@ def mixed_counts(docs: DataFrame, most: int = MOST) -> DataFrame:
     """
     placed = written(stream_places(docs, most), "mix-places")
     own = ["source", "doc_id", "text"]
-    mixed = written(_mixed(docs.select(own), placed, None).select(*own, "position", "__i"), "mix")
+    mixed = written(_mixed(docs.select(own), placed, None).select(*own, F.col("mix_position").alias("position"), "__i"), "mix")
     counted = mixed.select("source", "doc_id", row_key("doc_id", "text").alias("key"), "__i", "position", word_count("text").alias("words"))
     keys = ["source", "doc_id", "key", "__i"]
     counted = counted.groupBy(*keys).agg(F.sum("words").alias("taken"), F.count("*").alias("copies"), F.min("position").alias("position"))
@@ -184,11 +187,11 @@ def training_position(place: Column, schedule: Column, schedules: tuple = SCHEDU
 def mix(docs: DataFrame, most: int = MOST, partitions: int | None = None) -> DataFrame:
     """The mix itself: every taken copy as a row with docs' columns, sorted by training position.
 
-    Columns position and copy are added.  Partitions are ranges of positions,
+    Columns mix_position and mix_copy are added.  Partitions are ranges of positions,
     in order: positions lie nearly evenly between 0 and 1 by the words, so the
     ranges need no sampling pass.
     """
-    own = [c for c in docs.columns if c not in ("position", "copy")]
+    own = [c for c in docs.columns if c not in ("mix_position", "mix_copy")]
     docs = docs.select(own)
     return _mixed(docs, stream_places(docs, most), partitions).drop("__i")
 
@@ -211,13 +214,13 @@ def _mixed(docs: DataFrame, placed: DataFrame, partitions: int | None) -> DataFr
     copies = joined.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__rows") - 1))).withColumn(
         "__n", F.col("__passes") + F.when(F.col("__i") < F.col("__extra"), 1).otherwise(0)
     )
-    copies = copies.where(F.col("__n") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    copies = copies.where(F.col("__n") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     stream = F.col("__passes") * F.col("__source_size") + F.col("__last")
-    place = (F.col("copy") * F.col("__source_size") + F.col("__before") + F.col("__i") * F.col("__size") + F.col("__size") * F.lit(0.5)) / stream
-    out = copies.withColumn("position", training_position(place, F.col("__nth") % len(SCHEDULES)))
-    out = out.select(*own, "position", "copy", "__i")
-    part = F.least(F.lit(partitions - 1), F.floor(F.col("position") * partitions)).cast("int")
-    return out.repartitionById(partitions, part).sortWithinPartitions("position", "doc_id", "copy")
+    place = (F.col("mix_copy") * F.col("__source_size") + F.col("__before") + F.col("__i") * F.col("__size") + F.col("__size") * F.lit(0.5)) / stream
+    out = copies.withColumn("mix_position", training_position(place, F.col("__nth") % len(SCHEDULES)))
+    out = out.select(*own, "mix_position", "mix_copy", "__i")
+    part = F.least(F.lit(partitions - 1), F.floor(F.col("mix_position") * partitions)).cast("int")
+    return out.repartitionById(partitions, part).sortWithinPartitions("mix_position", "doc_id", "mix_copy")
 
 
 def sql(most: int = MOST) -> str:

@@ -9,12 +9,15 @@ use Cholesky factors made once when the model is fitted.
 
 The fit needs the classes' sums of statistics and of their products only: they
 are added up within every task and the few dozen numbers of each task once
-more, so labels of any number are used in full and no sample is drawn.
+more.  It takes at most about ``TRAIN_ROWS`` labelled documents (all, if fewer;
+else a sample by hash of doc_id), so their list is broadcast and neither texts
+nor statistics are shuffled.
 
 Defined results for odd input: a null text is scored as an empty one; an empty
 text has a score like any other; texts of any length are read whole; a null
-doc_id is never held out and never trains; a doc_id that repeats, in documents
-or in labels, trains once for every pair of rows; null labels are left out;
+doc_id is never held out and never trains; a doc_id that repeats in documents
+trains once for every row, one that repeats in labels once for every different
+label; null labels are left out;
 extra columns are left alone; without any label of one class the score is the
 share of label 1 (0.5 without any label); an empty table gives an empty table.
 """
@@ -38,6 +41,8 @@ POOLED, RIDGE = 0.1, 0.02
 THRESHOLD = 0.3
 #: One document in FOLDS is held out.
 FOLDS = 5
+#: Labelled documents that a model is trained on, about, at most.
+TRAIN_ROWS = 100_000
 
 _KINDS = {
     "upper": range(65, 91),
@@ -162,10 +167,17 @@ def _rows(column: pa.Array) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].reshape(len(column), N)
 
 
-def train(stats: DataFrame, labels: DataFrame) -> Model:
-    """A model from (doc_id, x) and (doc_id, quality), of the rows that aren't held out."""
-    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
-    rows = stats.where(~held_out("doc_id")).join(known, "doc_id").select("x", "y")
+def training_rows(labels: DataFrame) -> DataFrame:
+    """(doc_id, y) of the labels that train: those not held out, all or about TRAIN_ROWS by hash of doc_id."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
+    known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).distinct()
+    share = min(1.0, TRAIN_ROWS / max(1, known.count()))
+    return known.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+
+
+def train(stats: DataFrame, known: DataFrame) -> Model:
+    """A model from (doc_id, x) and training_rows."""
+    rows = stats.join(F.broadcast(known), "doc_id").select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, p = np.zeros(2), np.zeros((2, N)), np.zeros((2, N, N))
@@ -186,7 +198,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     is the statistics.
     """
     stats = written(statistics(docs), "statistics")
-    model = train(stats, labels)
+    model = train(stats, training_rows(labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,10 +211,13 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, whole, whose score reaches the threshold.
 
-    The model is fitted on statistics as in :func:`scores`; the rows are then
-    scored where they are scanned, so no text is shuffled.
+    The model is fitted as in :func:`scores`, on the statistics of the training
+    documents alone; the rows are then scored where they are scanned, so no text
+    is shuffled.
     """
-    model = train(written(statistics(docs), "statistics"), labels)
+    known = training_rows(labels)
+    ids = known.select(F.col("doc_id").alias("__d")).distinct()
+    model = train(statistics(docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("__d"), "left_semi")), known)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -386,7 +386,7 @@ def test_stages(spark, tmp_path, awkward, nothing):
                 assert docs.count() == before
                 if table.count() == 400:
                     assert docs.where("text like '%footer%'").count() == 0 and docs.where("n_chars <> length(text)").count() == 0
-        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "shard", "row"]
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "lines", "near-dedup", "mixing", "bpe"]
 
 

@@ -42,6 +42,23 @@ def test_encoders_equal_the_library(name, make):
             assert mine.decode(ids) == lib.decode(want.ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("change", [{"normalizer": None}, {"decoder": {"type": "BPEDecoder"}}, {"post_processor": {"type": "ByteLevel"}}, {"pre_tokenizer": {"type": "Whitespace"}}, "ignore_merges", "lstrip"])
+def test_other_tokenizer_files_are_refused(tmp_path, change):
+    import json
+
+    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    if change == "ignore_merges":
+        spec["model"]["ignore_merges"] = True
+    elif change == "lstrip":
+        spec["added_tokens"][0]["lstrip"] = True
+    else:
+        spec |= change
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="another kind"):
+        bpe.Tokenizer(str(tmp_path / "t.json"))
+
+
 def test_merges_among_equal_symbols():
     vocab = {c: i for i, c in enumerate(bpe.byte_alphabet())} | {"aa": 256, "aaa": 257, "ab": 258}
     table = bpe.MergeTable(vocab, [("a", "a"), ("aa", "a"), ("a", "b")])
@@ -190,6 +207,58 @@ def test_quality_model_is_the_textbook_one():
     assert np.allclose(model.log_odds(x), logs[1] - logs[0])
 
 
+def plain_features(text):
+    """The statistics, counted letter by letter and word by word."""
+    raw, own = (text or "").encode(), [w.lower() for w in re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())]
+    out = [np.log1p(len(raw)), np.log1p(len(own)), np.log1p(len(raw) / max(1, len(own)))]
+    kinds = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:?", b"!#$%&*+=@^_~<>{}[]/\\", b"|", b"'\"()-", b" \t\n\x0b\x0c\r", b"\n", bytes(range(128, 256))]
+    out += [np.sqrt(sum(raw.count(bytes([c])) for c in kind) / (len(raw) + 200)) for kind in kinds]
+    pairs = list(zip(own, own[1:]))
+    out += [np.sqrt((len(x) - len(set(x))) / (len(own) + 40)) for x in (own, pairs)]
+    return out
+
+
+def test_quality_against_brute_force(spark, awkward):
+    """op4 from plain counts and the written formula, shrinkage on, over awkward texts too."""
+    rng = random.Random(15)
+    rows = [(n, junk(rng, rng.randint(1, 60)) if n % 3 == 0 else prose(rng, rng.randint(1, 60)) + rng.choice(["", "\nx|y", " É?", "  12"]), "s") for n in range(100, 400)]
+    docs = documents(spark, rows).unionByName(awkward)
+    labels = [(n, int(n % 3 != 0)) for n in range(100, 400)] + [(5, 1), (5, 1), (7, 0), (2, 1)]
+    got = Counter((r.doc_id, r.held_out, round(r.score, 6), r.predicted) for r in quality.scores(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect())
+    every = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    x = np.array([plain_features(t) for _, t in every])
+    held = [d is not None and zlib.crc32(str(d).encode()) % 5 == 0 for d, _ in every]
+    known = dict(labels)
+    train = [k for k, (d, _) in enumerate(every) if d in known and not held[k]]
+    y = np.array([known[every[k][0]] for k in train])
+    mean, std = x[train].mean(axis=0), x[train].std(axis=0)
+    z = (x - mean) / np.where(std < 1e-5, 1, std)
+    own = [z[train][y == c] for c in (0, 1)]
+    covs = [np.cov(o.T, bias=True) for o in own]
+    both = sum(c * len(o) for c, o in zip(covs, own)) / len(train)
+    logs = []
+    for o, c in zip(own, covs):
+        c = (1 - quality.POOLED) * c + quality.POOLED * both
+        c = (1 - quality.RIDGE) * c + quality.RIDGE * np.trace(c) / len(c) * np.eye(len(c))
+        d = z - o.mean(axis=0)
+        logs.append(np.log(len(o) / len(train)) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(c), d))
+    score = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0], -700, 700)))
+    assert got == Counter((d, h, round(float(s), 6), int(s >= 0.3)) for (d, _), h, s in zip(every, held, score))
+
+
+def test_threshold_includes_ties(spark, monkeypatch):
+    monkeypatch.setattr(quality, "THRESHOLD", 0.5)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    docs = documents(spark, [(1, "a", "s"), (2, None, "s")])
+    assert {(r.score, r.predicted) for r in quality.scores(docs, none).collect()} == {(0.5, 1)} and quality.keep_good(docs, none, 0.5).count() == 2
+
+
+def test_training_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 50)
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1000)] + [(7, 1)] * 500, "doc_id long, quality int")
+    assert 20 <= quality.training_rows(labels).count() <= 100
+
+
 # -- lines --------------------------------------------------------------------------------------
 
 
@@ -378,7 +447,8 @@ def test_mixing(spark, awkward, nothing):
     assert all(abs(taken[k] - k[1]) <= largest[k[0]] / 2 + 1 for k in by_size)
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix_counts(docs.repartition(3)).collect()))
     mixed = mixing.mix(docs, partitions=4)
-    out = mixed.select("doc_id", "text", "position", "copy").collect()
+    assert mixed.columns == [*docs.columns, "mix_position", "mix_copy"] and {r[0] for r in mixed.select("position").collect()} == {"x"}
+    out = mixed.select("doc_id", "text", F.col("mix_position").alias("position"), F.col("mix_copy").alias("copy")).collect()
     copies = Counter((r.doc_id, r.text) for r in out)
     first = defaultdict(int)
     for i, t, _ in rows:
