@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,18 +31,32 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, in training order."""
+    """The documents as often as the mix takes them, in training order: by file, then by row."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """BPE encoding and decoding of every document that the earlier stages leave."""
-    return bpe.digests(docs, tokenizer_file("word_bpe_49k.json"))
+    """BPE encoding and decoding of every document that the earlier stages leave.
+
+    shard and row are a document's place in the files that the mix was written
+    to, so ordered by them the result is in training order (null where docs
+    don't come from such files).
+    """
+    return bpe.digests(_placed(docs), tokenizer_file("word_bpe_49k.json"), ("shard", "row"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with shard, the number of the Parquet file, and row, the place in it."""
+    shard = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    try:
+        return docs.select(*COLUMNS, F.when(shard != "", shard).cast("int").alias("shard"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # no files
+        return docs.select(*COLUMNS, F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("row"))
 
 
 STAGES = [("quality", good), ("lines", unboiled), ("near-dedup", distinct), ("mixing", mixed), ("bpe", tokens)]
 
-#: SQL has neither the classifier, the sketches nor the tokenizer; tests hold each stage against brute force.
+#: SQL has neither the classifier, the sketches nor the tokenizer; tests/llm/test_pipeline.py holds each stage against brute force.
 ORACLE_SQL = None
 
 
