@@ -42,7 +42,7 @@ import gzip
 import uuid
 import zlib
 from collections.abc import Iterator
-from datetime import UTC, datetime
+from datetime import datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,11 +91,12 @@ def _tag(headers: Column) -> Column:
 
 def _lower_names(headers: Column) -> Column:
     """Header names in lower case; of names that then are equal the values are joined."""
-    pairs = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    headers = F.coalesce(headers, F.create_map().cast("map<string,string>"))
+    pairs = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
     joined = lambda k: F.array_join(F.transform(F.filter(pairs, lambda e: e["key"] == k), lambda e: e["value"]), ", ")
     names = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
     several = F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), joined(k).alias("value"))))
-    return F.when(F.size(names) == F.size(pairs), F.map_from_entries(pairs)).otherwise(several)
+    return F.when(F.forall(F.map_keys(headers), lambda k: k == F.lower(k)), headers).otherwise(several)
 
 
 def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
@@ -153,7 +154,8 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
     digest = F.md5(F.coalesce(F.col("body"), F.lit(b"")))
     bodies = records.select(F.col("record_id").alias("__id"), digest.alias("__digest"), "body").groupBy("__id", "__digest").agg(F.first("body").alias("body"))
     wanted = F.coalesce("original_id", "record_id")
-    return resolved.join(bodies, wanted.eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
+    # both sides are large, though a plan that begins with a list of files looks small
+    return resolved.join(bodies.hint("merge"), wanted.eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
 
 
 def header_lines(headers: str | Column) -> Column:
@@ -165,8 +167,8 @@ def header_lines(headers: str | Column) -> Column:
 # -- files ------------------------------------------------------------------------------------
 
 
-def _lines(headers: dict[str, str | None]) -> bytes:
-    return "".join(f"{k}: {v}\r\n" for k, v in headers.items() if v is not None).encode()
+def _lines(headers: list[tuple[str, object]]) -> bytes:
+    return "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None).encode()
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
@@ -177,21 +179,19 @@ def write(records: DataFrame, folder: str) -> DataFrame:
         fs.create_dir(root, recursive=True)
         name, n, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
-            for row in batch.to_pylist():
+            for record_id, kind, url, date, status, headers, body in zip(*(c.to_pylist() for c in batch.columns)):
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
                 n += 1
-                http = f"HTTP/1.1 {row['status'] or 0} -\r\n".encode() + _lines(dict(row["headers"] or [])) + b"\r\n" + (row["body"] or b"")
-                date = row["date"].astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ") if row["date"] else None
-                head = {"WARC-Type": row["kind"], "WARC-Record-ID": row["record_id"], "WARC-Target-URI": row["url"], "WARC-Date": date}
-                head["WARC-Profile"] = {"revisit": _PROFILE, OTHER: _SAME_PAYLOAD}.get(row["kind"])
-                head["WARC-Type"] = "revisit" if row["kind"] == OTHER else row["kind"]
-                head |= {"Content-Type": "application/http;msgtype=response", "Content-Length": str(len(http))}
+                http = f"HTTP/1.1 {status or 0} -\r\n".encode() + _lines(headers or []) + b"\r\n" + (body or b"")
+                head = [("WARC-Type", "revisit" if kind == OTHER else kind), ("WARC-Record-ID", record_id), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Profile", {"revisit": _PROFILE, OTHER: _SAME_PAYLOAD}.get(kind))]
+                head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(http))]
                 out.write(gzip.compress(b"WARC/1.1\r\n" + _lines(head) + b"\r\n" + http + b"\r\n\r\n", LEVEL, mtime=0))
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "records"])
 
-    plain = records.select("record_id", "kind", "url", "date", "status", "headers", "body")
+    date = F.date_format(F.to_utc_timestamp("date", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    plain = records.select("record_id", "kind", "url", date.alias("date"), "status", "headers", "body")
     return written(plain.mapInArrow(run, "name string, records long"), "warc-files")
 
 
@@ -199,7 +199,7 @@ def _members(stream) -> Iterator[bytes]:
     """The gzip members of a stream, one after another."""
     rest, unpack, parts = b"", zlib.decompressobj(31), []
     while True:
-        data = rest or stream.read(1 << 20)
+        data = rest or stream.read(1 << 16)  # what is left of it is copied for every member
         if not data:
             if parts and any(parts):
                 raise ValueError("the file ends inside a record")
@@ -251,6 +251,11 @@ def read(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
         for batch in batches:
             for name in batch.column("name").to_pylist():
                 rows, size = [], 0
+
+                def table() -> pa.RecordBatch:
+                    columns = zip(*(r.values() for r in rows))  # noqa: B023
+                    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
+
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for member in _members(stream):
                         record = parse(member)
@@ -258,10 +263,10 @@ def read(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
                             rows.append(record)
                             size += len(member)
                         if size > 8_000_000:
-                            yield pa.RecordBatch.from_pylist(rows, kind)
+                            yield table()
                             rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, kind)
+                    yield table()
 
     files = names.select("name")
     return files.repartition(max(1, files.count())).mapInArrow(run, SCHEMA)
@@ -277,11 +282,13 @@ def _days(n: Column) -> Column:
 def captures(pages: DataFrame) -> DataFrame:
     """Records like those of a crawl, several of each page.  With day its page_id:
 
-    * on day a full response (r), and on day + 400 another, of other text (s);
-    * on day + 300 a partial one (p, status 206) with the tag of a third text;
-    * revisits before the first response (u, day - 1), after it (v, day + 200),
-      with its tag after the second (w, day + 600), with the second's (x, day +
-      600), and one of another profile (y, day + 700, every tenth page).
+    * on day a full response (r), and a revisit after it (v, day + 200);
+    * of pages with remainder 0 or 1 by 4 a second response of other text (s,
+      day + 400), then a revisit with the first's tag (w, remainder 0) or the
+      second's (x, remainder 1) on day + 600;
+    * with remainder 2 a partial response (p, status 206) of other tag, day + 100;
+    * with remainder 3 a revisit before the first response (u, day - 1);
+    * of every tenth page a revisit of another profile (y, day + 700).
 
     v's validator is r's tag (weak for every second page), but for pages
     divisible by 5 only the modification date, for those divisible by 7 another
@@ -307,9 +314,11 @@ def captures(pages: DataFrame) -> DataFrame:
     etag = lambda t: F.create_map(F.lit("ETag"), t)
     sent = F.when(of(7), F.lit('"other"')).when(of(2), F.concat(F.lit("W/"), tag(first))).otherwise(tag(first))
     validators = F.when(of(11), none).when(of(5), F.create_map(F.lit("Last-Modified"), modified(day))).otherwise(etag(sent))
+    left = lambda *k: (day % 4).isin(*k)
     records = [
-        full("r", day, 200, first, tag(first)), full("s", day + 400, 200, second, tag(second)), full("p", day + 300, 206, F.lit("part"), F.lit('"part"')),
-        again("u", day - 1, etag(tag(first))), again("v", day + 200, validators), again("w", day + 600, etag(tag(first))), again("x", day + 600, etag(tag(second))),
+        full("r", day, 200, first, tag(first)), again("v", day + 200, validators), F.when(left(0, 1), full("s", day + 400, 200, second, tag(second))),
+        F.when(left(0), again("w", day + 600, etag(tag(first)))), F.when(left(1), again("x", day + 600, etag(tag(second)))),
+        F.when(left(2), full("p", day + 100, 206, F.lit("part"), F.lit('"part"'))), F.when(left(3), again("u", day - 1, etag(tag(first)))),
         F.when(of(10), again("y", day + 700, etag(tag(second)), OTHER)),
     ]
     return pages.select(F.inline(F.filter(F.array(*records), lambda r: r.isNotNull())))
@@ -338,13 +347,13 @@ def sql() -> str:
 with p as (select coalesce(page_id, 0) as day, coalesce(page_id::varchar, '-') as name, md5(coalesce(html, '')) as one, md5('second text of ' || coalesce(page_id::varchar, '-')) as two,
   case when {clean} <> '' then {authority} || (case when {path} = '' then '/' else {path} end) || (case when {query} = '' then '' else '?' || {query} end) end as canonical from pages),
 f as (select 'r' || name as record_id, canonical, day as at_, 200 as status, '"' || one || '"' as etag, one as digest from p
-  union all select 's' || name, canonical, day + 400, 200, '"' || two || '"', two from p
-  union all select 'p' || name, canonical, day + 300, 206, '"part"', md5('part') from p),
-v as (select 'u' || name as record_id, canonical, day - 1 as at_, '"' || one || '"' as sent, null as modified from p
+  union all select 's' || name, canonical, day + 400, 200, '"' || two || '"', two from p where day % 4 in (0, 1)
+  union all select 'p' || name, canonical, day + 100, 206, '"part"', md5('part') from p where day % 4 = 2),
+v as (select 'u' || name as record_id, canonical, day - 1 as at_, '"' || one || '"' as sent, null as modified from p where day % 4 = 3
   union all select 'v' || name, canonical, day + 200, case when day % 11 = 0 or day % 5 = 0 then null when day % 7 = 0 then '"other"' when day % 2 = 0 then 'W/"' || one || '"' else '"' || one || '"' end,
     case when day % 11 <> 0 and day % 5 = 0 then 'day ' || day end from p
-  union all select 'w' || name, canonical, day + 600, '"' || one || '"', null from p
-  union all select 'x' || name, canonical, day + 600, '"' || two || '"', null from p),
+  union all select 'w' || name, canonical, day + 600, '"' || one || '"', null from p where day % 4 = 0
+  union all select 'x' || name, canonical, day + 600, '"' || two || '"', null from p where day % 4 = 1),
 a as (select v.*, regexp_replace(sent, '^W/', '') as etag, o.record_id as o_id, o.etag as o_etag, 'day ' || o.at_ as o_modified, o.digest as o_digest from v left join
   (select v.record_id as v_id, f.*, row_number() over (partition by v.record_id order by f.at_ desc, f.record_id desc) as n from v join f on f.canonical = v.canonical and f.at_ <= v.at_ and f.status = 200) o on o.v_id = v.record_id and o.n = 1),
 s as (select *, case when o_id is null then 'missing' when etag is not null then (case when etag = o_etag then 'resolved' else 'mismatch' end)
