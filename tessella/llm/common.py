@@ -59,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     passing(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

@@ -37,8 +37,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 #: Weight over time of the sources, by (order of the source) mod 3, as (time, weight) knots; only the shape counts.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
+#: Columns of stream_places that the mix needs.
+PLACES = ("source", "doc_id", "key", "size", "rows", "nth", "source_size", "target", "passes", "extra", "before")
 #: Hex digits of a row's hash that make its bucket within the source.
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 
 
 def word_count(text: str | Column) -> Column:
@@ -92,8 +94,8 @@ def _sum_before(df: DataFrame, over: list[str], bucket: str, order: list[str], v
     earlier = W.partitionBy(*over).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"__b_{c}") for c in over], F.col(bucket).alias("__b"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__base"))
     on = F.col(bucket) == F.col("__b")
-    for c in over:
-        on = on & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
+    for c in over:  # never null, so the join takes the window's partitions
+        on = on & (F.col(c) == F.col(f"__b_{c}"))
     out = df.withColumn("__in", F.coalesce(F.sum(value_name).over(within), F.lit(0))).join(totals, on)
     return out.withColumn(name, F.col("__in") + F.col("__base")).drop("__in", "__base", "__b", value_name, *[f"__b_{c}" for c in over])
 
@@ -109,8 +111,8 @@ def stream_places(docs: DataFrame, most: int = MOST) -> DataFrame:
     narrow = docs.select("source", "doc_id", row_key("doc_id", "text").alias("key"), word_count("text").alias("size"))
     rows = written(narrow.groupBy("source", "doc_id", "key", "size").agg(F.count("*").alias("rows")), "mix-rows")
     targets = source_targets(rows.select("source", (F.col("size") * F.col("rows")).alias("size")), most).withColumnRenamed("source", "__s")
-    rows = rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    placed = _sum_before(rows, ["source"], "bucket", ["key", "doc_id"], F.col("size") * F.col("rows"), "before").drop("bucket")
+    rows = rows.withColumns({"bucket": F.substring("key", 1, BUCKET_DIGITS), "sid": F.xxhash64(F.col("source").isNull(), "source")})
+    placed = _sum_before(rows, ["sid"], "bucket", ["key", "doc_id"], F.col("size") * F.col("rows"), "before").drop("bucket", "sid")
     placed = placed.join(targets, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("passes", passes).withColumn("rest", F.col("target") - (F.col("passes") * F.col("source_size")).cast("double"))
@@ -141,7 +143,7 @@ def mixed_counts(docs: DataFrame, most: int = MOST) -> DataFrame:
     taken, copies and position are those of a row's copies in the mix; rows of
     which it has none are added with 0.
     """
-    placed = written(stream_places(docs, most), "mix-places")
+    placed = written(stream_places(docs, most).select(*PLACES), "mix-places")
     own = ["source", "doc_id", "text"]
     mixed = written(_mixed(docs.select(own), placed, None).select(*own, F.col("mix_position").alias("position"), "__i"), "mix")
     counted = mixed.select("source", "doc_id", row_key("doc_id", "text").alias("key"), "__i", "position", word_count("text").alias("words"))
