@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessella.functions.html import tag_map, tag_tokens
@@ -83,4 +83,10 @@ def plain_documents(documents: DataFrame, stemmed: bool = True) -> DataFrame:
     return out.select("doc_id", "url", "tokens", "two_grams", "three_grams", "original_tokens", "tag_map", "raw_size")
 
 
-__all__ = ["classified", "dense_ids", "parse_documents", "parsed", "plain_documents", "report", "strip_html"]
+def formatted(doc: Row) -> str:
+    """A document as lines: its id and URL, its words, then each tag with its words."""
+    lines = [f"{doc['doc_id']} {doc['url']}: {len(doc['tokens'])} tokens", " ".join(doc["tokens"])]
+    return "\n".join([*lines, *(f"{tag}: {' '.join(words)}" for tag, words in sorted((doc["tag_map"] or {}).items()))])
+
+
+__all__ = ["classified", "dense_ids", "formatted", "length_reason", "parse_documents", "parsed", "plain_documents", "report", "size_reason", "strip_html"]

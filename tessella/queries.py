@@ -13,7 +13,7 @@ from tessella.functions.stem import stems
 from tessella.operators import codec, dedup, parse, postings, rank
 from tessella.plans import index as plan
 from tessella.plans.engine import SearchEngine
-from tessella.plans.storage import folder, kept
+from tessella.plans.storage import folder, kept, passing
 from tessella.sources import pages as source
 from tessella.streaming import ingest
 
@@ -361,7 +361,9 @@ def codec_round_trip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sought(spark: SparkSession, docs: DataFrame) -> DataFrame:
     import uuid
 
-    index = plan.build(docs).save(f"{folder(spark)}/index-{uuid.uuid4().hex}")
+    path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    index = plan.build(docs).save(path)
+    passing(spark, path)
     found = plan.seek(index, ["the", "de", "die", "la", "and", "of+the"])
     return found.select("term", F.col("type").cast("int").alias("type"), "doc_id", "tag", "pos")
 
@@ -467,7 +469,9 @@ def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stemmed end to end: index saved and opened, all benchmark passages asked at once."""
     import uuid
 
-    index = plan.build(_plain(spark, sf_dir, stemmed=True), 1.0).save(f"{folder(spark)}/index-{uuid.uuid4().hex}")
+    path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    index = plan.build(_plain(spark, sf_dir, stemmed=True), 1.0).save(path)
+    passing(spark, path)
     asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return SearchEngine(index).search_many(asked, K, rank.BM25).withColumn("score", F.round("score", 6))
 
@@ -480,11 +484,41 @@ def stream_index_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     documents.repartition(3).write.parquet(f"{base}/in")
+    passing(spark, base)
     stream = ingest.page_stream(spark, f"{base}/in", "doc_id long, text string", files_a_batch=1)
     ingest.append_batches(stream, f"{base}/checkpoint", f"{base}/out", ingest.plain)
     return ingest.merged_batches(spark, f"{base}/out").drop("bytes")
 
 
+@query(f"with {_P} select term, gram_n, count(*) as n_postings, sum(pos)::bigint as positions, min(doc_id) as first_doc, max(doc_id) as last_doc from p group by term, gram_n")
+def stream_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with positions of documents that arrive in batches, flushed by bytes, merged and written back as one."""
+    import uuid
+
+    base = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").cast("long").alias("size"))
+    documents.repartition(3).write.parquet(f"{base}/in")
+    passing(spark, base)
+    stream = ingest.page_stream(spark, f"{base}/in", "doc_id long, text string, size long", files_a_batch=1)
+    ingest.append_batches(stream, f"{base}/checkpoint", f"{base}/out", ingest.plain, flush_by=("doc_id", "size"))
+    ingest.compact(spark, f"{base}/out", f"{base}/whole")
+    rows = ingest.merged_postings(spark, f"{base}/whole")
+    return rows.groupBy("term", "gram_n").agg(F.count("*").alias("n_postings"), F.sum("pos").alias("positions"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@query(f"with {_KEPT} select doc_id, url, doc_len from (select doc_id, 'doc/' || doc_id as url, (2 * len(t) + greatest(len(t) - 1, 0) + greatest(len(t) - 2, 0))::bigint as doc_len from k)")
+def doc_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's URL and length, as with_urls joins them."""
+    docs = postings.doc_lengths(_plain(spark, sf_dir))
+    return rank.with_urls(docs.select("doc_id", "doc_len"), docs).select("doc_id", "url", "doc_len")
+
+
+@query(f"with {_P} select type || '-' || doc_id || '-' || tag || '-' || pos as id, count(*) as n, min(32 + strlen(tag))::int as size from p group by type, doc_id, tag, pos")
+def posting_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = postings.invert(_plain(spark, sf_dir))
+    return rows.select(postings.posting_id().alias("id"), postings.posting_size().alias("size")).groupBy("id").agg(F.count("*").alias("n"), F.min("size").alias("size"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over documents for all benchmark passages."""
     return bm25_topk_text(spark, sf_dir)

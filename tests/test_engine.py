@@ -149,3 +149,114 @@ def test_first_urls_on_a_stream(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     index = plan.build(spark.createDataFrame([], DOCS)).save(str(tmp_path / "index"))
     assert SearchEngine(index).search("anything").collect() == []
+
+
+def test_postings_of_batches_are_merged_and_compacted(spark, tmp_path):
+    """A k-way merge of batches has the postings of the whole, in order and with repeats."""
+    rows = [(n, " ".join(f"t{(n * k) % 31}" for k in range(110)), 100 * n) for n in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, size long")
+    docs.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = ingest.page_stream(spark, str(tmp_path / "in"), "doc_id long, text string, size long", files_a_batch=2)
+    ingest.append_batches(stream, str(tmp_path / "cp"), str(tmp_path / "out"), ingest.plain, flush_by=("doc_id", "size"))
+    whole = sorted(tuple(r) for r in postings.invert(ingest.plain(docs)).select(*ingest.ORDER).collect())
+    assert [tuple(r) for r in ingest.merged_postings(spark, str(tmp_path / "out")).select(*ingest.ORDER).collect()] == whole
+    ingest.compact(spark, str(tmp_path / "out"), str(tmp_path / "one"))
+    assert [tuple(r) for r in ingest.merged_postings(spark, str(tmp_path / "one")).select(*ingest.ORDER).collect()] == whole
+    twice = ingest.merge_lists([postings.invert(ingest.plain(docs))] * 2)
+    assert [tuple(r) for r in twice.select(*ingest.ORDER).collect()] == sorted(2 * whole)
+    assert postings.distinct_postings(twice).count() == len(set(whole))
+
+
+def test_flushes_end_on_bytes_or_count(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 6), (3, 1), (4, 1), (5, 1), (6, 20), (7, None)], "n long, size long")
+    got = [r.flush for r in ingest.flushes(sizes, "n", "size", most_rows=3, most_bytes=10).orderBy("n").collect()]
+    assert got == [0, 0, 1, 1, 1, 2, 3]
+
+
+def test_pages_on_a_stream(spark, tmp_path):
+    """URLs and simhashes count once over the whole run, whatever batch they come in."""
+    text = lambda n: " ".join(f"w{n}x{k}" for k in range(130))
+    rows = [(0, "http://a/1", text(0)), (1, "http://a/1?x", text(1)), (2, "http://a/2", text(2)), (3, "http://a/3", text(2)), (4, "http://a/4", "short")]
+    for n, (i, u, t) in enumerate(rows):
+        spark.createDataFrame([(i, u, f"<p>{t}</p>", len(t) + 200)], "path long, url string, content string, file_size long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.page_stream(spark, str(tmp_path / "in"), "path long, url string, content string, file_size long", files_a_batch=2)
+    ingest.append_pages(stream, str(tmp_path / "cp"), str(tmp_path / "out"))
+    kept = {r.doc_id for r in ingest.merged_batches(spark, str(tmp_path / "out")).select("doc_id").distinct().collect()}
+    assert len(kept) == 2 and len(kept & {0, 1}) == 1 and len(kept & {2, 3}) == 1
+
+
+def test_record_codec(spark):
+    rows = [(0, 5, "", 0), (0, 300, "", 7), (1, 300, "title", 2)]
+    raw = codec.encode_record("café", rows)
+    assert raw[:8] == (5).to_bytes(8, "little") and raw[-1] == codec.END * 16 and codec.decode_record(raw) == ("café", rows)
+    assert codec.decode_entry(codec.encode_entry("acm", 40)) == ("acm", 40, 13) and codec.decode_int(codec.encode_int(-3)) == (-3, 8)
+    with pytest.raises(ValueError):
+        codec.decode_string(codec.encode_string("acm")[:-1])
+    table = spark.createDataFrame([("acm", k, d, t, p) for k, d, t, p in rows] + [("café", 0, 9, "", 1)], "term string, type int, doc_id long, tag string, pos int")
+    pieces = codec.record_pieces(codec.export_records(table)).orderBy("term", "piece").collect()
+    whole = b"".join(bytes(r.data) for r in pieces)
+    assert whole == codec.encode_record("acm", rows) + codec.encode_record("café", [(0, 9, "", 1)])
+    sizes = table.groupBy("term").agg(F.sum(codec.posting_bytes()).alias("bytes"))
+    for r in codec.dictionary(sizes).collect():
+        assert codec.decode_record(whole[r.start : r.end])[0] == r.term
+
+
+def test_dictionary_of_many_terms_with_one_beginning(spark):
+    terms = spark.range(5000).select(F.format_string("the+%05d", (F.col("id") * 7 % 5003).cast("long")).alias("term"), (F.col("id") % 9).alias("bytes"))
+    rows = codec.dictionary(terms.withColumn("x", F.lit(1))).orderBy("term").collect()
+    at = 0
+    for r in rows:
+        assert (r.start, r.end, r.x) == (at, at + 9 + 9 + r.bytes, 1)
+        at = r.end
+
+
+def test_posting_identity(spark):
+    row = spark.createDataFrame([(1, 5, "title", 2)], "type int, doc_id long, tag string, pos int").select(postings.posting_id().alias("id"), postings.posting_size().alias("n")).first()
+    assert (row.id, row.n) == ("1-5-title-2", 37)
+
+
+def test_caches(spark, crawl, tmp_path):
+    from tessella.plans.engine import CacheMiss, DiskLists, MemoryLists, Unsupported
+
+    index = plan.build(parse.parse_documents(pages.crawl(spark, crawl))).save(str(tmp_path / "index"))
+    plain, cached = SearchEngine(index), SearchEngine(index, list_cache=2)
+    for text in ("acm library", "machine learning", "acm machine zzz"):
+        for ranker in ("tfidf", "bm25"):
+            assert cached.search(text, 5, ranker).collect() == plain.search(text, 5, ranker).collect()
+    seen = []
+    inner = plain.index.dictionary
+    object.__setattr__(plain.index, "dictionary", type("Seen", (), {"where": lambda self, c: seen.append(c) or inner.where(c)})())
+    assert plain.search("library", 3).count() == 1 and not seen  # its total is remembered
+    lists = MemoryLists(1, DiskLists(index))
+    assert lists.get("acm") is lists.get("acm") and lists.get("acm").storageLevel.useMemory
+    first = lists.get("acm")
+    lists.get("librari")
+    assert not first.storageLevel.useMemory
+    with pytest.raises(Unsupported):
+        DiskLists(index).set("acm", first)
+    with pytest.raises(CacheMiss):
+        MemoryLists(1).get("acm")
+
+
+def test_crawl_wants_folders(spark, tmp_path):
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site" / "a.json").write_text(json.dumps({"url": "http://a", "content": "x", "encoding": "u"}))
+    (tmp_path / "plain.json").write_text("{}")
+    with pytest.raises(NotADirectoryError):
+        pages.crawl(spark, str(tmp_path))
+    assert pages.crawl(spark, str(tmp_path), on_error="skip").count() == 1
+
+
+def test_command_line(spark, crawl, tmp_path, capsys):
+    from tessella.__main__ import main
+
+    assert main(["parse", crawl]) == 0
+    assert "http://a.com/1" in capsys.readouterr().out
+    assert main(["build", crawl, str(tmp_path / "index")]) == 0
+    capsys.readouterr()
+    assert main(["search", str(tmp_path / "index"), "acm", "library", "-k", "3"]) == 0
+    assert capsys.readouterr().out.startswith("1) 1 http://a.com/4 ")
+    (tmp_path / "queries.txt").write_text("acm library\n\nmachine learning\n")
+    assert main(["batch", str(tmp_path / "index"), str(tmp_path / "queries.txt")]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert [line.split(":")[0] for line in out] == ["acm library", "machine learning"] and "http://a.com/1" in out[1]

@@ -26,6 +26,18 @@ def test_sanitized_tokens(spark):
     assert values(spark, rows, T.tokens(T.sanitized("x"))) == [["a", "b", "c"], ["ab"], ["xy"], ["ac"]]
 
 
+def test_markup_is_stripped_as_a_tokenizer_does(spark):
+    rows = [
+        """caf&eacute; &#65;bc &hellip; it&rsquo;s <a title="x>y">z</a><script>var q""",
+        "a <b title='>q'>b</b> < c > d <5 e",
+        "one<!-- <script> -->two<!-- never closed three",
+        "<p don't>four</p><img alt=\"five six>seven",
+        "<title>t</title>u<STYLE x=\">\">v</style >w<object><p>x</object>y<!DOCTYPE z>",
+    ]
+    want = [["caf", "abc", "it", "s", "z"], ["a", "b", "c", "d", "5", "e"], ["onetwo"], ["four"], ["uwy"]]
+    assert values(spark, rows, T.tokens(T.sanitized("x"))) == want
+
+
 @pytest.mark.parametrize("n, want", [(2, [[], [], ["a+b"], ["a+b", "b+c", "c+d"]]), (3, [[], [], [], ["a+b+c", "b+c+d"]]), (4, [[], [], [], ["a+b+c+d"]])])
 def test_ngrams(spark, n, want):
     assert values(spark, [[], ["a"], ["a", "b"], ["a", "b", "c", "d"]], T.ngrams("x", n), "x array<string>") == want
@@ -45,6 +57,31 @@ def test_fnv_and_simhash(spark):
     assert values(spark, [["machin", "learn"], []], simhash("x"), "x array<string>") == [simhash_of(["machin", "learn"]), -1]
 
 
+def test_simhashes_of_many_lists():
+    import random
+
+    import pyarrow as pa
+
+    from tessella.operators.dedup import fnv1_of, simhashes
+
+    rng = random.Random(3)
+    lists = [[rng.choice(["a", "machin", "learn", "caf\u00e9", "x" * 40, ""]) for _ in range(rng.randint(0, 30))] for _ in range(50)] + [None, []]
+
+    def slow(words):
+        votes = [0] * 64
+        for w in words or []:
+            h = 14695981039346656037
+            for b in w.encode():
+                h = (h * 1099511628211 % 2**64) ^ b
+            votes = [v + (1 if h >> k & 1 else -1) for k, v in enumerate(votes)]
+        total = sum(1 << k for k, v in enumerate(votes) if v >= 0)
+        return total - (1 << 64) if total >> 63 else total
+
+    for at_once in (7, 10**6):
+        assert simhashes(pa.array(lists, pa.list_(pa.string())), at_once).tolist() == [slow(x) for x in lists]
+    assert [f"{h:016x}" for h in fnv1_of(pa.array(["a", "", "machin"])).tolist()] == ["af63bd4c8601b7be", "cbf29ce484222325", "88ba9b6c01cb22db"]
+
+
 @pytest.mark.parametrize(
     "word, want",
     [("machine", "machin"), ("learning", "learn"), ("software", "softwar"), ("engineering", "engin"), ("ahmed", "ahm"), ("very", "veri"), ("consistency", "consist"), ("hopping", "hop"), ("hoping", "hope"), ("generously", "generous"), ("cries", "cri"), ("ties", "tie"), ("gas", "gas"), ("kiwis", "kiwi"), ("dying", "die"), ("agreed", "agre"), ("by", "by"), ("say", "say"), ("succeeded", "succeed"), ("relational", "relat"), ("knackeries", "knackeri")],
