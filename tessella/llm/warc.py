@@ -151,11 +151,12 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
 
     Joined by id and digest (that of resolve's default), so records that repeat stay as many as they are.
     """
+    told = lambda c: F.xxhash64(c.isNull(), c)
     digest = F.md5(F.coalesce(F.col("body"), F.lit(b"")))
-    bodies = records.select(F.col("record_id").alias("__id"), digest.alias("__digest"), "body").groupBy("__id", "__digest").agg(F.first("body").alias("body"))
-    wanted = F.coalesce("original_id", "record_id")
-    # both sides are large, though a plan that begins with a list of files looks small
-    return resolved.join(bodies.hint("merge"), wanted.eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
+    bodies = records.select(told(F.col("record_id")).alias("__id"), digest.alias("__digest"), "body").groupBy("__id", "__digest").agg(F.first("body").alias("body"))
+    wanted = told(F.coalesce("original_id", "record_id"))
+    # both sides are large, though a plan that begins with a list of files looks small; the keys are those of the groups
+    return resolved.join(bodies.hint("merge"), (wanted == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
 
 
 def header_lines(headers: str | Column) -> Column:
