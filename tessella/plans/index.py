@@ -25,7 +25,7 @@ class Index:
 
     def save(self, path: str, compression: str = "zstd") -> Index:
         """Write all tables below path, in term order, and open them."""
-        order = {"postings": ["term", "type", "doc_id", "tag", "pos"], "term_docs": ["term", "doc_id"], "dictionary": ["term"]}
+        order = {"postings": ["term", "type", "doc_id", "tag", "pos"], "term_docs": ["term", "doc_id"]}  # the dictionary comes in order
         for name in TABLES:
             df: DataFrame = getattr(self, name)
             if name in order:
@@ -49,7 +49,7 @@ def build(docs: DataFrame, text_weight: float = postings.TEXT_WEIGHT) -> Index:
     rows = kept(postings.invert(docs), "postings")
     pairs = kept(postings.term_docs(rows, text_weight), "term-docs")
     terms = postings.frequent(postings.term_totals(pairs))
-    words = kept(codec.dictionary(terms), "dictionary")
+    words = codec.dictionary(terms)
     stay = words.select("term")
     lengths = kept(postings.doc_lengths(docs), "doc-stats")
     return Index(rows.join(stay, "term", "left_semi"), pairs.join(stay, "term", "left_semi"), words, lengths, postings.corpus_stats(lengths))

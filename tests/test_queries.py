@@ -31,7 +31,7 @@ def compare(spark, name):
     assert rows(got.columns, map(tuple, got.collect())) == rows(columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["url_dedup", "tokenize", "simhash_dedup", "parse_report", "doc_len", "dictionary_offsets", "codec_round_trip", "index_seek", "tfidf_topk", "bm25_topk_text", "merge_partials"])
+@pytest.mark.parametrize("name", ["url_dedup", "tokenize", "simhash_dedup", "parse_report", "doc_len", "dictionary_offsets", "codec_round_trip", "index_seek", "tfidf_topk", "bm25_topk_text", "merge_partials", "sanitize_pages", "stream_postings", "doc_urls", "posting_ids"])
 def test_query(spark, name):
     compare(spark, name)
 
