@@ -154,7 +154,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1):
+            for part in parts(batch, 1, 1_000_000):
                 x = features(part.column(1).to_pylist())
                 column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), column], names=["doc_id", "x"])
@@ -222,7 +222,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, at):
+            for part in parts(batch, at, 1_000_000):
                 yield part.filter(pa.array(model.score(features(part.column(at).to_pylist())) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -57,7 +57,7 @@ LIKELY = 0.45
 #: Classes of a block; a key of more meets block by block.
 BLOCK = 2048
 #: Pairs compared at once.
-PAIRS = 100_000
+PAIRS, LIKELY_AT_ONCE = 50_000, 2048
 #: Members of a pivot that one task confirms in a row; larger stars are salted.
 STAR = 1000
 #: Numbers to which wanted documents are hashed, for a list that is broadcast (8 MB at most).
@@ -162,6 +162,9 @@ def likely_similarity(n_a: np.ndarray, n_b: np.ndarray, above: np.ndarray, below
 
     Given both set sizes and in how many of m registers a is above, and below, b.
     """
+    if len(n_a) > LIKELY_AT_ONCE:  # a row takes some 20 kB
+        cuts = range(0, len(n_a), LIKELY_AT_ONCE)
+        return np.concatenate([likely_similarity(*(x[c : c + LIKELY_AT_ONCE] for x in (n_a, n_b, above, below)), m, steps) for c in cuts])
     u = (n_a / (n_a + n_b))[:, None]
     v = 1 - u
     most = np.minimum(u / v, v / u)
