@@ -59,7 +59,7 @@ def _same(a: str, b: str) -> Column:
 def _turn_key() -> Column:
     """A turn's role and text as one hash; nulls differ from empty strings."""
     part = lambda c: F.coalesce(F.concat(F.lit("1"), F.md5(F.col(c).cast("string"))), F.lit("0"))
-    return F.md5(F.concat(part("role"), part("text")))
+    return F.unhex(F.md5(F.concat(part("role"), part("text"))))
 
 
 def _turns(chats: DataFrame) -> DataFrame:
@@ -124,7 +124,7 @@ def prefixes(chats: DataFrame) -> DataFrame:
     order = [F.col("conv"), F.col("turn").asc_nulls_last(), F.col("named"), F.col("role"), F.col("key")]
     ordered = turns.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered = ordered.select("conv", "turn", "key", F.xxhash64("key").alias("k1"), F.xxhash64(F.lit("two"), "key").alias("k2"))
-    local = written(ordered.mapInArrow(_along, "part int, conv long, turn long, key string, place long, h1 long, h2 long, last boolean"), "chat-turns")
+    local = written(ordered.mapInArrow(_along, "part int, conv long, turn long, key binary, place long, h1 long, h2 long, last boolean"), "chat-turns")
     # conversations in several ranges: at most one goes on into a range, so these are at most two rows a range
     ends = local.where("last").select("part", "conv", "place", "h1", "h2")
     ends = ends.withColumn("parts", F.count("*").over(W.partitionBy("conv"))).where("parts > 1").orderBy("part").collect()
@@ -160,7 +160,7 @@ def prefixes(chats: DataFrame) -> DataFrame:
                     last[of(p, goes_on[p])] = False
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("conv", "turn", "key")), pa.array(place), *(pa.array(h.view(np.int64)) for h in hashes), pa.array(last)], names=["conv", "turn", "key", "place", "h1", "h2", "last"])
 
-    return local.mapInArrow(complete, "conv long, turn long, key string, place long, h1 long, h2 long, last boolean")
+    return local.mapInArrow(complete, "conv long, turn long, key binary, place long, h1 long, h2 long, last boolean")
 
 
 def maximal(placed: DataFrame) -> DataFrame:
