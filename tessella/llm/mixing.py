@@ -37,6 +37,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 #: Weight over time of the sources, by (order of the source) mod 3, as (time, weight) knots; only the shape counts.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.0), (1.0, 1.5)))
+#: Sources up to which the ends of their last passes are broadcast, to drop texts that the mix doesn't take.
+SOURCES = 100_000
 #: Columns of stream_places that the mix needs.
 PLACES = ("source", "doc_id", "key", "size", "rows", "nth", "source_size", "target", "passes", "extra", "before")
 #: Hex digits of a row's hash that make its bucket within the source.
@@ -202,10 +204,15 @@ def _mixed(docs: DataFrame, placed: DataFrame, partitions: int | None) -> DataFr
     """mix of docs from their stream_places, with __i: which of the rows that repeat a copy is of."""
     own = docs.columns
     partitions = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    given = placed.groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("size") * F.col("extra")).alias("__last"))
+    taken = (F.col("size") > 0) & ((F.col("passes") > 0) | (F.col("extra") > 0))
+    given = placed.groupBy(F.col("source").alias("__s")).agg(F.sum(F.col("size") * F.col("extra")).alias("__last"), F.max(F.when(taken, F.col("key"))).alias("__end"))
     placed = placed.join(given, F.col("source").eqNullSafe(F.col("__s"))).where((F.col("size") > 0) & ((F.col("passes") > 0) | (F.col("extra") > 0)))
     placed = placed.select(*[F.col(c).alias(f"__{c}") for c in ("source", "doc_id", "key", "size", "rows", "nth", "source_size", "passes", "extra", "before")], "__last")
     rows = docs.withColumn("__k", row_key("doc_id", "text"))
+    if given.count() <= SOURCES:
+        # the last pass takes a source's rows up to a key: texts beyond it (or without words) aren't shuffled
+        ends = F.broadcast(given.select(F.col("__s").alias("__e"), "__end"))
+        rows = rows.join(ends, F.col("source").eqNullSafe(F.col("__e")) & (F.col("__k") <= F.col("__end")), "left_semi")
     on = F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__k") == F.col("__key"))
     joined = rows.join(placed.where("__rows = 1"), on)
     several = placed.where("__rows > 1")
