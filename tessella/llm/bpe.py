@@ -34,7 +34,7 @@ from tessella.llm.common import parts, with_fields
 
 _NONE = np.iinfo(np.int64).max
 #: A worker's cache of chunks is emptied beyond so many entries or characters.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 16_000_000
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 8_000_000
 
 
 def byte_alphabet() -> list[str]:

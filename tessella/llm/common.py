@@ -109,6 +109,7 @@ def parts(batch: pa.RecordBatch, text: int | str, size: int = 2_000_000) -> Iter
         end = max(start + 1, int(np.searchsorted(total, before + size)) + 1)
         yield batch.slice(start, end - start)
         start = min(end, batch.num_rows)
+    pa.default_memory_pool().release_unused()  # workers live on, and their next stage has other needs
 
 
 def with_fields(df: DataFrame, **fields: DataType) -> StructType:

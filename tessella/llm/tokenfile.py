@@ -46,10 +46,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.llm.bpe import CACHE_CHARS, CACHE_ENTRIES, _Slots
+from tessella.llm.bpe import _Slots
 from tessella.llm.common import file_system, new_folder, parts, passing, written
 
 END = 2
+#: Pieces, and characters of them, that a worker keeps.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 16_000_000
 LEVEL = 3
 SAMPLE_DOCS, SAMPLE_BYTES, WINDOWS, DICTIONARY_BYTES = 2000, 16_384, 8, 112_640
 #: About how many bytes of ids (before compression) a file holds at most; small tables make a file for each shuffle partition.

@@ -106,7 +106,7 @@ def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
     and body unless ``digest`` is given as a column of records.  Result: record_id,
     url, canonical, date, kind, resolution, original_id, status, headers, digest.
     """
-    body = digest if digest is not None else F.md5(F.coalesce(F.col("body"), F.lit(b"")))
+    body = digest if digest is not None else F.unhex(F.md5(F.coalesce(F.col("body"), F.lit(b""))))  # in binary on the way
     rows = records.select("record_id", "kind", "url", "date", "status", _lower_names(F.col("headers")).alias("headers"), body.alias("digest"))
     rows = rows.withColumn("canonical", canonical_url("url")).withColumn("at", F.coalesce(F.unix_micros("date"), F.lit(-(2**63))))
     rows = written(rows, "warc-records")
@@ -142,21 +142,21 @@ def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
         pick(F.col("o.record_id"), F.lit(None).cast("string")).alias("original_id"),
         pick(F.col("o.status"), F.col("status")).alias("status"),
         pick(merged, mine).alias("headers"),
-        pick(F.col("o.digest"), F.col("digest")).alias("digest"),
+        (pick(F.col("o.digest"), F.col("digest")) if digest is not None else F.lower(F.hex(pick(F.col("o.digest"), F.col("digest"))))).alias("digest"),
     )
 
 
 def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
-    """resolved with the body: its own, or the original's.
+    """resolved with the body: its own, or the original's; null for an empty one.
 
     Joined by id and digest (that of resolve's default), so records that repeat stay as many as they are.
     """
     told = lambda c: F.xxhash64(c.isNull(), c)
     digest = F.md5(F.coalesce(F.col("body"), F.lit(b"")))
-    bodies = records.select(told(F.col("record_id")).alias("__id"), digest.alias("__digest"), "body").groupBy("__id", "__digest").agg(F.first("body").alias("body"))
+    bodies = records.where(F.length("body") > 0).select(told(F.col("record_id")).alias("__id"), F.xxhash64(digest).alias("__digest"), "body").groupBy("__id", "__digest").agg(F.first("body").alias("body"))
     wanted = told(F.coalesce("original_id", "record_id"))
     # both sides are large, though a plan that begins with a list of files looks small; the keys are those of the groups
-    return resolved.join(bodies.hint("merge"), (wanted == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left").drop("__id", "__digest")
+    return resolved.join(bodies.hint("merge"), (wanted == F.col("__id")) & (F.xxhash64("digest") == F.col("__digest")), "left").drop("__id", "__digest")
 
 
 def header_lines(headers: str | Column) -> Column:
