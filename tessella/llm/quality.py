@@ -24,7 +24,7 @@ share of label 1 (0.5 without any label); an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -178,16 +178,33 @@ def training_rows(labels: DataFrame) -> DataFrame:
 def train(stats: DataFrame, known: DataFrame) -> Model:
     """A model from (doc_id, x) and training_rows."""
     rows = stats.join(F.broadcast(known), "doc_id").select("x", "y")
+    return _trained(rows, lambda batch: [(_rows(batch.column(0)), batch.column(1).to_numpy())])
+
+
+def train_on_texts(docs: DataFrame, known: DataFrame) -> Model:
+    """A model from (doc_id, text) and training_rows.
+
+    The labels meet the texts before Python sees them, so statistics and moments
+    are made in one pass: a task never needs two Python workers at once.
+    """
+    labelled = known.select(F.col("doc_id").alias("__d"), F.col("y").alias("__y"))
+    rows = docs.join(F.broadcast(labelled), F.col("doc_id").cast("long") == F.col("__d")).select(F.col("text").cast("string").alias("text"), "__y")
+    return _trained(rows, lambda batch: ((features(p.column(0).to_pylist()), p.column(1).to_numpy()) for p in parts(batch, 0, 1_000_000)))
+
+
+def _trained(rows: DataFrame, examples: Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray]]]) -> Model:
+    """A model from the statistics and labels that examples gives for each batch of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, p = np.zeros(2), np.zeros((2, N)), np.zeros((2, N, N))
         for batch in batches:
-            a, b, c = moments(_rows(batch.column(0)), batch.column(1).to_numpy())
-            n, s, p = n + a, s + b, p + c
+            for x, y in examples(batch):
+                a, b, c = moments(x, y)
+                n, s, p = n + a, s + b, p + c
         yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((n, s.ravel(), p.ravel())).tolist()], pa.list_(pa.float64()))], names=["m"])
 
-    parts = [np.array(r["m"]) for r in rows.mapInArrow(run, "m array<double>").collect()]  # one small row a task
-    all_ = reduce(np.add, parts, np.zeros(2 + 2 * N + 2 * N * N))
+    sums = [np.array(r["m"]) for r in rows.mapInArrow(run, "m array<double>").collect()]  # one small row a task
+    all_ = reduce(np.add, sums, np.zeros(2 + 2 * N + 2 * N * N))
     return fit(all_[:2], all_[2 : 2 + 2 * N].reshape(2, N), all_[2 + 2 * N :].reshape(2, N, N))
 
 
@@ -216,8 +233,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     is shuffled.
     """
     known = training_rows(labels)
-    ids = known.select(F.col("doc_id").alias("__d")).distinct()
-    model = train(statistics(docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("__d"), "left_semi")), known)
+    model = train_on_texts(docs, known)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

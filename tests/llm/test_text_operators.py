@@ -194,6 +194,19 @@ def test_quality(spark, awkward, nothing):
     assert {r[2] for r in collected(quality.scores(awkward, one))} == {1.0}
 
 
+def test_quality_filter_trains_in_one_python_pass(spark, monkeypatch):
+    """Two Python passes in a stage are two workers a core, and workers stay for the later stages."""
+    rng = random.Random(5)
+    docs = documents(spark, [(n, junk(rng, 30) if n % 4 == 0 else prose(rng, 30), "s") for n in range(200)])
+    labels = spark.createDataFrame([(n, int(n % 4 != 0)) for n in range(200)] + [(3, 0)], "doc_id long, quality int")
+    plans, plain = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    good = quality.keep_good(docs, labels)
+    assert [p.count("MapInArrow") for p in plans] == [1]
+    monkeypatch.undo()
+    assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in quality.scores(docs, labels).where("predicted = 1").collect())
+
+
 def test_quality_model_is_the_textbook_one():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(0, 1, (300, quality.N)), rng.normal(0.5, 2, (200, quality.N))])
