@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tessella.llm.common import parts, with_fields
+from tessella.llm.common import frugal, parts, with_fields
 
 _NONE = np.iinfo(np.int64).max
 #: A worker's cache of chunks is emptied beyond so many entries or characters.
@@ -333,6 +333,7 @@ def digests(docs: DataFrame, path: str, extra: Sequence[str] = ()) -> DataFrame:
     between the JVM and Python.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
         for batch in batches:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -109,7 +111,28 @@ def parts(batch: pa.RecordBatch, text: int | str, size: int = 2_000_000) -> Iter
         end = max(start + 1, int(np.searchsorted(total, before + size)) + 1)
         yield batch.slice(start, end - start)
         start = min(end, batch.num_rows)
-    pa.default_memory_pool().release_unused()  # workers live on, and their next stage has other needs
+    give_back()
+
+
+#: glibc's, by which freed memory below the top of its heaps goes back too.
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Give freed memory back to the system, Arrow's and Python's: workers live on, and their next stage has other needs."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which its worker keeps nothing of the task: neither the last batch nor what was freed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
 
 
 def with_fields(df: DataFrame, **fields: DataType) -> StructType:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import parts, written
+from tessella.llm.common import frugal, parts, written
 from tessella.llm.setsketch import word_hashes
 
 #: Weights of the pooled covariance and of the identity in a class's covariance.
@@ -152,9 +152,10 @@ def held_out(doc_id: str | Column) -> Column:
 def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x) of every row: its transformed statistics."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1, 1_000_000):
+            for part in parts(batch, 1, 250_000):
                 x = features(part.column(1).to_pylist())
                 column = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), column], names=["doc_id", "x"])
@@ -189,12 +190,13 @@ def train_on_texts(docs: DataFrame, known: DataFrame) -> Model:
     """
     labelled = known.select(F.col("doc_id").alias("__d"), F.col("y").alias("__y"))
     rows = docs.join(F.broadcast(labelled), F.col("doc_id").cast("long") == F.col("__d")).select(F.col("text").cast("string").alias("text"), "__y")
-    return _trained(rows, lambda batch: ((features(p.column(0).to_pylist()), p.column(1).to_numpy()) for p in parts(batch, 0, 1_000_000)))
+    return _trained(rows, lambda batch: ((features(p.column(0).to_pylist()), p.column(1).to_numpy()) for p in parts(batch, 0, 250_000)))
 
 
 def _trained(rows: DataFrame, examples: Callable[[pa.RecordBatch], Iterable[tuple[np.ndarray, np.ndarray]]]) -> Model:
     """A model from the statistics and labels that examples gives for each batch of rows."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, p = np.zeros(2), np.zeros((2, N)), np.zeros((2, N, N))
         for batch in batches:
@@ -217,6 +219,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = written(statistics(docs), "statistics")
     model = train(stats, training_rows(labels))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_rows(batch.column(1))), pa.float64())], names=["doc_id", "score"])
@@ -236,9 +239,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train_on_texts(docs, known)
     at = docs.columns.index("text")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, at, 1_000_000):
+            for part in parts(batch, at, 250_000):
                 yield part.filter(pa.array(model.score(features(part.column(at).to_pylist())) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

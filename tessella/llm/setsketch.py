@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import forgotten, parts, seeded, written
+from tessella.llm.common import forgotten, frugal, parts, seeded, written
 
 WORDS, PERCENT = 5, 70
 BANDS, ROWS = 32, 3
@@ -57,7 +57,7 @@ LIKELY = 0.45
 #: Classes of a block; a key of more meets block by block.
 BLOCK = 2048
 #: Pairs compared at once.
-PAIRS, LIKELY_AT_ONCE = 50_000, 2048
+PAIRS, LIKELY_AT_ONCE = 20_000, 512
 #: Members of a pivot that one task confirms in a row; larger stars are salted.
 STAR = 1000
 #: Numbers to which wanted documents are hashed, for a list that is broadcast (8 MB at most).
@@ -189,9 +189,10 @@ def _told(docs: DataFrame) -> DataFrame:
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, rid2, n_shingles, c1, c2, registers) of every row; registers null for an empty set."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 3, 1_000_000):
+            for part in parts(batch, 3, 250_000):
                 sets = shingle_sets(part.column(3).to_pylist())
                 full = [s for s in sets if len(s)]
                 regs = (r.tobytes() for r in registers(full)) if full else iter(())
@@ -255,6 +256,7 @@ def _as_registers(column: pa.Array) -> np.ndarray:
 def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose likelihood doesn't rule the threshold out."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
@@ -284,6 +286,7 @@ def cross_pairs(classes: DataFrame, roots: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     members = meets.join(comp.select("node", "n", "registers"), "node").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for batch in batches:
@@ -354,10 +357,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     met = texts.join(wanted, ["rid", "rid2"]).select("a", "salt", "role", "node", "c1", "c2", "text")
     met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot_of, pivot = None, np.empty(0, np.uint64)
         for batch in batches:
-            for part in parts(batch, 6, 1_000_000):
+            for part in parts(batch, 6, 250_000):
                 a_out, b_out = [], []
                 rows = part.to_pydict()
                 for i, own in enumerate(shingle_sets(rows["text"])):

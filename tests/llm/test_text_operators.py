@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import random
 import re
@@ -9,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -502,6 +504,35 @@ def test_training_positions_invert_the_integral(spark):
             assert abs(np.trapezoid(weight(grid), grid) / area - p) < 1e-6
 
 
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="glibc's allocator")
+def test_workers_keep_no_memory_of_a_task(spark, monkeypatch):
+    """What the sketches' and the filter's Python passes leave behind in a worker, which lives on beside the next stages."""
+    anonymous = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) >> 10
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(1, prose(rng, 50))], "doc_id long, text string")
+    passes, kind = [], type(docs)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, run, *schema: passes.append(run) or plain(df, run, *schema))
+    setsketch.sketches(docs)
+    quality.keep_good(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    bpe.digests(docs, tokenizer_file("word_bpe_49k.json"))
+    assert len(passes) == 4  # the filter has two
+    texts = [prose(rng, 300) for _ in range(10_000)]
+    columns = {0: ["doc_id", "rid", "rid2", "text"], 1: ["text", "y"], 2: ["doc_id", "text"], 3: ["doc_id", "text"]}
+
+    def used(run, names):
+        for _ in run(iter([pa.RecordBatch.from_arrays([pa.array(texts) if n == "text" else pa.array(np.zeros(len(texts), np.int64)) for n in names], names=names)])):
+            pass
+
+    for k, run in enumerate(passes):
+        used(run, columns[k])  # tables and caches stay
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        before = anonymous()
+        used(run, columns[k])
+        assert anonymous() < before + 8, columns[k]
+
+
 def test_parts():
     import pyarrow as pa
 
