@@ -13,7 +13,8 @@ those of the revisit that a 304 may change.
 The join is a running "last response so far" over time within a URL, in two
 steps: within ranges of time (quantiles of all dates), then over each URL's
 ranges.  A URL with a third of all records is so spread over all ranges; only
-ids, dates, headers and digests take part, and bodies are joined afterwards.
+ids, dates, headers and digests (of WARC files: places in them) take part, and
+bodies are joined, or fetched from the files, afterwards.
 Records of equal URL and date follow by id, responses before revisits.
 
 Revisits of other profiles (equal payload) say nothing about validators: their
@@ -43,11 +44,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessella.llm.common import file_system, new_folder, passing, written
 
@@ -58,11 +61,16 @@ FULL = (200, 203)
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-location", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
 #: Kind of a revisit that isn't "not modified".
 OTHER = "other-revisit"
-SCHEMA = "record_id string, kind string, url string, date timestamp, status int, headers map<string,string>, body binary"
+_HEAD = "record_id string, kind string, url string, date timestamp, status int, headers map<string,string>, "
+SCHEMA = _HEAD + "body binary"
+#: Where a record lies in a folder of WARC files; null if its body is empty.
+PLACE = "struct<file:string,offset:bigint,length:bigint>"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 _SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Effort of gzip.
 LEVEL = 3
+#: Bytes of a WARC file whose bodies one task fetches, and that it reads at once.
+BLOCK, AHEAD = 1 << 22, 1 << 18
 
 
 # -- canonical URLs --------------------------------------------------------------------------
@@ -103,8 +111,9 @@ def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
     """Every record with what it resolves to, without bodies.
 
     records: record_id, kind ('response', 'revisit' or another), url, date, status, headers,
-    and body unless ``digest`` is given as a column of records.  Result: record_id,
-    url, canonical, date, kind, resolution, original_id, status, headers, digest.
+    and body unless ``digest`` is given as a column of records, such as the place of
+    :func:`read`.  Result: record_id, url, canonical, date, kind, resolution,
+    original_id, status, headers, digest.
     """
     body = digest if digest is not None else F.unhex(F.md5(F.coalesce(F.col("body"), F.lit(b""))))  # in binary on the way
     rows = records.select("record_id", "kind", "url", "date", "status", _lower_names(F.col("headers")).alias("headers"), body.alias("digest"))
@@ -120,8 +129,7 @@ def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
     near = rows.where(~apart).withColumn("own", original)
     order = ["at", F.when(F.col("kind") == "response", 0).otherwise(1), "record_id"]
     within = W.partitionBy("canonical", "span").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    last = near.where(full).groupBy("canonical", "span").agg(F.max_by("own", F.struct("at", "record_id")).alias("o"))
-    spans = near.select("canonical", "span").distinct().join(last, ["canonical", "span"], "left")
+    spans = near.groupBy("canonical", "span").agg(F.max_by("own", F.when(full, F.struct("at", "record_id"))).alias("o"))
     earlier = W.partitionBy("canonical").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
     spans = spans.select("canonical", "span", F.last("o", ignorenulls=True).over(earlier).alias("base"))
     found = near.withColumn("inside", F.last("own", ignorenulls=True).over(within)).join(spans, ["canonical", "span"])
@@ -146,11 +154,15 @@ def resolve(records: DataFrame, digest: Column | None = None) -> DataFrame:
     )
 
 
-def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
+def with_bodies(resolved: DataFrame, records: DataFrame | str) -> DataFrame:
     """resolved with the body: its own, or the original's; null for an empty one.
 
     Joined by id and digest (that of resolve's default), so records that repeat stay as many as they are.
+    Of records in WARC files, the folder in place of the table: resolved has the column place then, and
+    bodies are fetched from there, without a shuffle of any.
     """
+    if isinstance(records, str):
+        return _fetched(resolved, records)
     told = lambda c: F.xxhash64(c.isNull(), c)
     digest = F.md5(F.coalesce(F.col("body"), F.lit(b"")))
     bodies = records.where(F.length("body") > 0).select(told(F.col("record_id")).alias("__id"), F.xxhash64(digest).alias("__digest"), "body").groupBy("__id", "__digest").agg(F.first("body").alias("body"))
@@ -159,6 +171,52 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
     return resolved.join(bodies.hint("merge"), (wanted == F.col("__id")) & (F.xxhash64("digest") == F.col("__digest")), "left").drop("__id", "__digest")
 
 
+def _fetched(resolved: DataFrame, folder: str) -> DataFrame:
+    """resolved with the bodies at their places, read in the order of files and offsets; rows of one place follow each other and share a read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+        name = file = here = body = None
+        data, start = b"", 0
+        for batch in batches:
+            places = batch.column("place")
+            rest = batch.select([c for c in batch.schema.names if c != "place"])
+            bodies, size, done = [], 0, 0
+            for place in zip(*(c.to_pylist() for c in places.flatten())):
+                if place != here:
+                    here, body = place, None
+                    if place[0] is not None:
+                        if place[0] != name:
+                            if file:
+                                file.close()
+                            name, data = place[0], b""
+                            file = fs.open_input_file(f"{root}/{name}")
+                        _, offset, length = place
+                        if not start <= offset <= offset + length <= start + len(data):
+                            file.seek(offset)
+                            data, start = file.read(max(length, AHEAD)), offset
+                        head, _, content = zlib.decompress(memoryview(data)[offset - start :][:length], 31).partition(b"\r\n\r\n")
+                        body = _http(_fields(head), content)[1]
+                bodies.append(body)
+                size += len(body or b"")
+                if size > 4_000_000:
+                    yield _with(rest.slice(done, len(bodies)), bodies)
+                    done, bodies, size = done + len(bodies), [], 0
+            if bodies:
+                yield _with(rest.slice(done), bodies)
+        if file:
+            file.close()
+
+    # a place has one task, if AQE doesn't share out a part that has too many rows; rows without one go anywhere
+    block = F.when(F.col("place").isNull(), F.xxhash64("record_id")).otherwise(F.xxhash64("place.file", F.floor(F.col("place.offset") / BLOCK)))
+    rows = resolved.withColumn("__block", block).hint("rebalance", "__block").drop("__block").sortWithinPartitions("place.file", "place.offset")
+    return rows.mapInArrow(run, StructType([*resolved.drop("place").schema.fields, StructField("body", BinaryType())]))
+
+
+def _with(rows: pa.RecordBatch, bodies: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(bodies, pa.binary())], names=[*rows.schema.names, "body"])
+
+
 def header_lines(headers: str | Column) -> Column:
     """'name: value' lines, sorted by name."""
     column = F.col(headers) if isinstance(headers, str) else headers
@@ -169,7 +227,7 @@ def header_lines(headers: str | Column) -> Column:
 
 
 def _lines(headers: list[tuple[str, object]]) -> bytes:
-    return "".join(f"{k}: {v}\r\n" for k, v in headers if v is not None).encode()
+    return "".join([f"{k}: {v}\r\n" for k, v in headers if v is not None]).encode()
 
 
 def write(records: DataFrame, folder: str) -> DataFrame:
@@ -183,10 +241,10 @@ def write(records: DataFrame, folder: str) -> DataFrame:
             for record_id, kind, url, date, status, headers, body in zip(*(c.to_pylist() for c in batch.columns)):
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
                 n += 1
-                http = f"HTTP/1.1 {status or 0} -\r\n".encode() + _lines(headers or []) + b"\r\n" + (body or b"")
+                http = b"".join((f"HTTP/1.1 {status or 0} -\r\n".encode(), _lines(headers or []), b"\r\n", body or b""))
                 head = [("WARC-Type", "revisit" if kind == OTHER else kind), ("WARC-Record-ID", record_id), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Profile", {"revisit": _PROFILE, OTHER: _SAME_PAYLOAD}.get(kind))]
                 head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", len(http))]
-                out.write(gzip.compress(b"WARC/1.1\r\n" + _lines(head) + b"\r\n" + http + b"\r\n\r\n", LEVEL, mtime=0))
+                out.write(gzip.compress(b"".join((b"WARC/1.1\r\n", _lines(head), b"\r\n", http, b"\r\n\r\n")), LEVEL, mtime=0))
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "records"])
@@ -196,41 +254,56 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     return written(plain.mapInArrow(run, "name string, records long"), "warc-files")
 
 
-def _members(stream) -> Iterator[bytes]:
-    """The gzip members of a stream, one after another."""
-    rest, unpack, parts = b"", zlib.decompressobj(31), []
+def _members(stream) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of the gzip members of a stream, one after another."""
+    data, at, base, start = memoryview(b""), 0, 0, 0
+    unpack, parts = zlib.decompressobj(31), []
     while True:
-        data = rest or stream.read(1 << 16)  # what is left of it is copied for every member
-        if not data:
-            if parts and any(parts):
-                raise ValueError("the file ends inside a record")
-            return
-        parts.append(unpack.decompress(data))
-        rest = unpack.unused_data
+        if at == len(data):
+            base += at
+            data, at = memoryview(stream.read(AHEAD)), 0
+            if not data:
+                if parts and any(parts):
+                    raise ValueError("the file ends inside a record")
+                return
+        piece = data[at : at + (1 << 12)]  # what is left of it is copied for every member
+        parts.append(unpack.decompress(piece))
+        at += len(piece) - len(unpack.unused_data)
         if unpack.eof:
-            yield b"".join(parts)
+            yield start, base + at - start, b"".join(parts)
+            start = base + at
             unpack, parts = zlib.decompressobj(31), []
 
 
+@lru_cache(maxsize=4096)
+def _name(name: str) -> str:
+    return name.strip().lower()
+
+
 def _fields(raw: bytes) -> dict[str, str]:
     out: dict[str, str] = {}
     for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if colon:
-            name, value = name.strip().lower(), value.strip()
+            name, value = _name(name), value.strip()
             out[name] = f"{out[name]}, {value}" if name in out else value
     return out
 
 
+def _http(warc: dict[str, str], content: bytes) -> tuple[bytes, bytes]:
+    """The HTTP head and the body of a record's content."""
+    http, _, body = content[: int(warc.get("content-length", 0))].partition(b"\r\n\r\n")
+    return http, body
+
+
 def parse(member: bytes) -> dict | None:
     """A record of :data:`SCHEMA` from one gzip member; None for other kinds than response and revisit."""
     head, _, content = member.partition(b"\r\n\r\n")
     warc = _fields(head)
-    if warc.get("warc-type") not in ("response", "revisit"):
+    kind = warc.get("warc-type")
+    if kind not in ("response", "revisit"):
         return None
-    content = content[: int(warc.get("content-length", 0))]
-    http, _, body = content.partition(b"\r\n\r\n")
-    kind = warc["warc-type"]
+    http, body = _http(warc, content)
     if kind == "revisit" and not (warc.get("warc-profile") or _PROFILE).endswith("server-not-modified"):
         kind = OTHER
     status = http.split(b" ", 2)[1:2]
@@ -243,9 +316,14 @@ def parse(member: bytes) -> dict | None:
     }
 
 
-def read(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
-    """The responses and revisits of gzipped WARC files (name) in folder, a task for each file."""
-    kind = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("date", pa.timestamp("us", tz="UTC")), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
+def read(spark: SparkSession, folder: str, names: DataFrame, bodies: bool = True) -> DataFrame:
+    """The responses and revisits of gzipped WARC files (name) in folder, a task for each file.
+
+    Without bodies there is the column place (:data:`PLACE`) instead, by which :func:`with_bodies` finds them.
+    """
+    place = pa.struct([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    last = ("body", pa.binary()) if bodies else ("place", place)
+    kind = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("date", pa.timestamp("us", tz="UTC")), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -258,11 +336,13 @@ def read(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
                     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                    for member in _members(stream):
+                    for offset, length, member in _members(stream):
                         record = parse(member)
                         if record:
+                            size += len(member) if bodies else len(member) - len(record["body"])
+                            if not bodies:
+                                record["place"] = (name, offset, length) if record.pop("body") else None
                             rows.append(record)
-                            size += len(member)
                         if size > 8_000_000:
                             yield table()
                             rows, size = [], 0
@@ -270,7 +350,7 @@ def read(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
                     yield table()
 
     files = names.select("name")
-    return files.repartition(max(1, files.count())).mapInArrow(run, SCHEMA)
+    return files.repartition(max(1, files.count())).mapInArrow(run, SCHEMA if bodies else f"{_HEAD}place {PLACE}")
 
 
 # -- the query: captures made from the table of pages --------------------------------------------
@@ -299,6 +379,9 @@ def captures(pages: DataFrame) -> DataFrame:
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
     first, second = F.coalesce("html", F.lit("")), F.concat(F.lit("second text of "), name)
     tag = lambda text: F.concat(F.lit('"'), F.md5(text), F.lit('"'))
+    # each once a page: inside the array below they would be computed wherever they stand
+    pages = pages.select("url", day.alias("day"), name.alias("name"), first.alias("first"), second.alias("second"), tag(first).alias("tag1"), tag(second).alias("tag2"))
+    day, name, first, second, tag1, tag2 = (F.col(c) for c in ("day", "name", "first", "second", "tag1", "tag2"))
     modified = lambda d: F.concat(F.lit("day "), d.cast("string"))
     none = F.create_map().cast("map<string,string>")
 
@@ -313,14 +396,14 @@ def captures(pages: DataFrame) -> DataFrame:
 
     of = lambda n: day % n == 0
     etag = lambda t: F.create_map(F.lit("ETag"), t)
-    sent = F.when(of(7), F.lit('"other"')).when(of(2), F.concat(F.lit("W/"), tag(first))).otherwise(tag(first))
+    sent = F.when(of(7), F.lit('"other"')).when(of(2), F.concat(F.lit("W/"), tag1)).otherwise(tag1)
     validators = F.when(of(11), none).when(of(5), F.create_map(F.lit("Last-Modified"), modified(day))).otherwise(etag(sent))
     left = lambda *k: (day % 4).isin(*k)
     records = [
-        full("r", day, 200, first, tag(first)), again("v", day + 200, validators), F.when(left(0, 1), full("s", day + 400, 200, second, tag(second))),
-        F.when(left(0), again("w", day + 600, etag(tag(first)))), F.when(left(1), again("x", day + 600, etag(tag(second)))),
-        F.when(left(2), full("p", day + 100, 206, F.lit("part"), F.lit('"part"'))), F.when(left(3), again("u", day - 1, etag(tag(first)))),
-        F.when(of(10), again("y", day + 700, etag(tag(second)), OTHER)),
+        full("r", day, 200, first, tag1), again("v", day + 200, validators), F.when(left(0, 1), full("s", day + 400, 200, second, tag2)),
+        F.when(left(0), again("w", day + 600, etag(tag1))), F.when(left(1), again("x", day + 600, etag(tag2))),
+        F.when(left(2), full("p", day + 100, 206, F.lit("part"), F.lit('"part"'))), F.when(left(3), again("u", day - 1, etag(tag1))),
+        F.when(of(10), again("y", day + 700, etag(tag2), OTHER)),
     ]
     return pages.select(F.inline(F.filter(F.array(*records), lambda r: r.isNotNull())))
 
@@ -331,9 +414,9 @@ def resolved_pages(pages: DataFrame) -> DataFrame:
     folder = new_folder(spark, "warc")
     files = write(captures(pages), folder)
     passing(spark, folder)
-    records = read(spark, folder, files)
-    out = with_bodies(resolve(records), records).withColumn("digest", F.md5(F.coalesce("body", F.lit(b""))))
-    return out.select("record_id", "canonical", F.unix_seconds("date").alias("epoch"), "kind", "resolution", "original_id", "status", header_lines("headers").alias("headers"), "digest")
+    resolved = resolve(read(spark, folder, files, bodies=False), F.col("place"))
+    wanted = resolved.select("record_id", "canonical", F.unix_seconds("date").alias("epoch"), "kind", "resolution", "original_id", "status", header_lines("headers").alias("headers"), F.col("digest").alias("place"))
+    return with_bodies(wanted, folder).withColumn("digest", F.md5(F.coalesce("body", F.lit(b"")))).drop("body")
 
 
 def sql() -> str:

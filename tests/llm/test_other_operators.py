@@ -365,6 +365,31 @@ def test_warc_files(spark):
     assert warc.resolved_pages(pages).count() == 12
 
 
+def test_bodies_are_fetched_from_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "AHEAD", 600)  # so that members lie across what is read at once
+    big = bytes(range(256)) * 40
+    noise = random.Random(8).randbytes(5_000)
+    rows = RECORDS + [("k", "response", "http://h/y", _day(1), 200, {"ETag": '"1"'}, noise), ("l", "response", "http://h/z", _day(1), 200, {"ETag": '"3"'}, b""), ("m", "revisit", "http://h/z", _day(2), 304, {"ETag": '"3"'}, b"")]
+    rows += [("n", "response", "http://h/w", _day(1), 206, {}, big)] + [(f"o{n}", "revisit", "http://h/y", _day(n + 2), 304, {"ETag": '"1"'}, None) for n in range(40)] + 2 * [("p", "response", "http://h/v", None, 200, {}, big)]
+    folder = new_folder(spark, "test-fetch")
+    files = warc.write(spark.createDataFrame(rows, warc.SCHEMA).repartition(3), folder)
+    whole, places = warc.read(spark, folder, files), warc.read(spark, folder, files, bodies=False)
+    assert "body" not in places.columns and places.where("place is null").count() == sum(not r[6] for r in rows)
+    of = lambda out: sorted((r.record_id, r.resolution, r.original_id or "", r.body and bytes(r.body)) for r in out.collect())
+    got = of(warc.with_bodies(warc.resolve(places, F.col("place")).withColumnRenamed("digest", "place"), folder))
+    assert got == of(warc.with_bodies(warc.resolve(whole), whole)) and len(got) == len(rows)
+    bodies = {r[0]: r[3] for r in got}
+    assert bodies["k"] == bodies["o0"] == bodies["o39"] == noise and bodies["n"] == bodies["p"] == big and bodies["c"] == b"one" and bodies["m"] is None and bodies["d"] is None
+
+
+def test_bodies_are_read_once_and_not_shuffled(spark):
+    pages = spark.createDataFrame([(n, f"http://h/{n % 7}", f"text {n}") for n in range(40)], "page_id long, url string, html string")
+    plan = warc.resolved_pages(pages)._jdf.queryExecution().optimizedPlan().toString()
+    above, fetch, below = plan.partition("MapInArrow")
+    assert fetch and "MapInArrow" not in below and "body" not in below.split("\n", 1)[1]  # no other pass over the files
+    assert not any(x in above for x in ("Join", "Aggregate", "Repartition", "Sort"))
+
+
 # -- pipeline and registry -----------------------------------------------------------------------------
 
 
