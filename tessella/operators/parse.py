@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions.html import tag_map, tag_tokens
 from tessella.functions.stem import stems
 from tessella.functions.text import ngrams, sanitized, strip_html, tokens, url_key
-from tessella.operators.dedup import BATCH_BYTES, length_reason, mark_first, simhash, size_reason
+from tessella.operators import grams
+from tessella.operators.dedup import BATCH_BYTES, length_reason, mark_first, size_reason
 from tessella.plans.storage import kept
 
 
@@ -31,9 +32,8 @@ def classified(raw: DataFrame, batch_bytes: int = BATCH_BYTES, stemmed: bool = T
     URL.  Only paths, keys and fingerprints are shuffled.
     """
     sized = raw.withColumn("reason", size_reason("file_size", batch_bytes))
-    words = tokens(sanitized("content") if html else F.col("content"))
-    narrow = sized.select("path", "url", "reason", url_key("url").alias("key"), F.when(F.col("reason").isNull(), stems(words) if stemmed else words).alias("words"))
-    narrow = narrow.select("path", "url", "reason", "key", F.size("words").alias("n"), F.when(length_reason(F.size("words")).isNull(), simhash("words")).alias("print"))
+    narrow = sized.select("path", "url", "reason", url_key("url").alias("key"), F.when(F.col("reason").isNull(), F.col("content")).alias("content"))
+    narrow = grams.prints(narrow, "content", stemmed, html)
     rows = kept(narrow, "classified")
     alive = mark_first(rows.where("reason is null"), "key", "path", "first")
     alive = alive.withColumn("reason", F.when(~F.col("first"), "duplicate").otherwise(length_reason("n"))).drop("first")
